@@ -34,22 +34,21 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-class Block:
-    """Part of the benchmark: its words' numbers and its windows, by length in words."""
-
-    def __init__(self, items: list[tuple[str, bytes]], width: int):
-        self.ids: dict[bytes, int] = {}
-        self.names: list[str] = []
-        found: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
-        for name, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)]
-            if not w:
-                continue
-            n, k = min(width, len(w)), len(self.names)
-            self.names.append(name)
-            for i in range(len(w) - n + 1):
-                found.setdefault(n, {}).setdefault(tuple(w[i : i + n]), []).append((k, i))
-        self.windows = {n: (_keys(np.array(list(ws), np.int64).reshape(-1, n)), list(ws.values())) for n, ws in found.items()}
+def _block(items: list[tuple[str, bytes]], width: int) -> tuple[dict, list, dict]:
+    """Part of the benchmark: its words' numbers, its items' names, and its windows by length in
+    words. Plain values, so that executors read it without this package."""
+    ids: dict[bytes, int] = {}
+    names: list[str] = []
+    found: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {}
+    for name, text in items:
+        w = [ids.setdefault(x, len(ids) + 1) for x in words(text)]
+        if not w:
+            continue
+        n, k = min(width, len(w)), len(names)
+        names.append(name)
+        for i in range(len(w) - n + 1):
+            found.setdefault(n, {}).setdefault(tuple(w[i : i + n]), []).append((k, i))
+    return ids, names, {n: (_keys(np.array(list(ws), np.int64).reshape(-1, n)), list(ws.values())) for n, ws in found.items()}
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -57,12 +56,12 @@ def _keys(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").reshape(-1)
 
 
-def _search(stream: np.ndarray, block: Block) -> list[tuple[int, int, list[tuple[int, int]]]]:
+def _search(stream: np.ndarray, windows: dict) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(place in stream, words, [(item, place in item)]) of every window's occurrence. stream: word
-    numbers, 0 for words that the block lacks and between documents."""
+    numbers, 0 for words that the benchmark lacks and between documents."""
     out = []
     known = np.concatenate(([0], np.cumsum(stream > 0)))
-    for n, (keys, owners) in block.windows.items():
+    for n, (keys, owners) in windows.items():
         starts = np.flatnonzero(known[n:] - known[:-n] == n) if len(stream) >= n else np.empty(0, np.int64)
         if not len(starts):
             continue
@@ -84,18 +83,18 @@ def _scan(texts: list[bytes | None], blocks, width: int):
     names: dict[int, set[str]] = {}
     matches: dict[int, list] = {}
     for handle in blocks:
-        block = handle.value if hasattr(handle, "value") else handle
-        get = block.ids.get
+        ids, item_names, windows = handle.value if hasattr(handle, "value") else handle
+        get = ids.get
         stream = np.zeros(int((lens + 1).sum()), np.int32)
         for s, d in zip(starts, docs, strict=True):
             stream[s : s + len(d)] = [get(w, 0) for w in d]
         runs: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-        for p, n, owners in _search(stream, block):
+        for p, n, owners in _search(stream, windows):
             cover[p] += 1
             cover[p + n] -= 1
             k = int(np.searchsorted(starts, p, "right")) - 1
             for item, at in owners:
-                names.setdefault(k, set()).add(block.names[item])
+                names.setdefault(k, set()).add(item_names[item])
                 runs.setdefault((k, item, p - at), []).append((p, n))
         for (k, item, shift), places in runs.items():
             begin = end = None
@@ -104,9 +103,9 @@ def _scan(texts: list[bytes | None], blocks, width: int):
                     end = max(end, p + n)
                     continue
                 if end is not None:
-                    matches.setdefault(k, []).append((block.names[item], begin - shift, begin - int(starts[k]), end - begin))
+                    matches.setdefault(k, []).append((item_names[item], begin - shift, begin - int(starts[k]), end - begin))
                 begin, end = p, p + n
-            matches.setdefault(k, []).append((block.names[item], begin - shift, begin - int(starts[k]), end - begin))
+            matches.setdefault(k, []).append((item_names[item], begin - shift, begin - int(starts[k]), end - begin))
         if len(blocks) > 1 and hasattr(handle, "_value"):
             del handle._value  # read again from the executor's disk when the next shard comes
     hit = np.cumsum(cover) > 0
@@ -121,12 +120,12 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, width: int, block_byt
     held, size, out = [], 0, []
     for r in rows.toLocalIterator():
         if held and size + len(r.t) > block_bytes:
-            out.append(sc.broadcast(Block(held, width)))
+            out.append(sc.broadcast(_block(held, width)))
             held, size = [], 0
         held.append((r.i, bytes(r.t)))
         size += len(r.t)
     if held:
-        out.append(sc.broadcast(Block(held, width)))
+        out.append(sc.broadcast(_block(held, width)))
     return out
 
 
