@@ -1,9 +1,20 @@
 """Registered queries: each a DataFrame plan over the tables, with the SQL that checks it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import detection, retrieval  # noqa: F401
+from .registry import ORACLES, QUERIES, Tables
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection.flagship(Tables(spark, sf_dir))
