@@ -55,7 +55,9 @@ def compile_conditions(rules: DataFrame, text: str = "condition_text") -> DataFr
                 out = F.when(F.col("_k") == k, F.regexp_extract("_rest", pattern, n)).otherwise(out)
         return out.try_cast("double")
 
-    op = F.element_at(F.array(*[F.lit(o) for _, o in forms]), F.col("_k") + 1)
+    op = F.lit(None).cast("string")
+    for k, (_, name) in enumerate(forms):
+        op = F.when(F.col("_k") == k, name).otherwise(op)
     stuck = F.col("_k") == 0
     return df.withColumns(
         {
