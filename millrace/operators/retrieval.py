@@ -109,18 +109,35 @@ def recall(selected: DataFrame, required: DataFrame, by: str = "query") -> DataF
     return got.groupBy(by).agg(F.count("hit").alias("hits"), F.count("*").alias("needed"), (F.count("hit") == F.count("*")).alias("complete"))
 
 
-def containment(texts: DataFrame, quotes: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, item_id) where a text holds a quote, white space aside. Quotes meet the texts that
-    have their first `words` words in a row, then the whole quote is looked for: no text is compared
-    with all quotes. Shorter quotes take their own length."""
-    t = texts.select("doc_id", T.squeeze(F.col("text")).alias("x")).withColumn("ws", F.split("x", " "))
-    q = quotes.select("item_id", T.squeeze(F.col("text")).alias("q")).where("q <> ''").withColumn("qs", F.split("q", " ")).withColumn("n", F.least(F.lit(words), F.size("qs")))
-    q = q.withColumn("key", F.array_join(F.slice("qs", F.lit(1), F.col("n")), " "))
-    # a quote may begin inside a word and end inside another: keys are the whole words between
-    q = q.withColumn("key", F.when(F.size("qs") > F.col("n") + 1, F.array_join(F.slice("qs", F.lit(2), F.col("n")), " ")).otherwise(F.col("key")))
-    sizes = F.array_distinct(F.transform(F.array(*map(F.lit, range(1, words + 1))), lambda n: n))
-    grams = F.flatten(F.transform(sizes, lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    keys = q.select("key").distinct()
-    seen = t.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(F.broadcast(keys) if keys.count() <= 100_000 else keys, "key", "left_semi")
-    pairs = seen.join(q.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return pairs.join(t.select("doc_id", "x"), "doc_id").join(q.select("item_id", "q"), "item_id").where(F.contains("x", F.col("q"))).select("doc_id", "item_id")
+def _gram(n: int):
+    return lambda i: F.array_join(F.slice("ws", i, F.lit(n)), " ")
+
+
+def containment(texts: DataFrame, quotes: DataFrame, words: int = 5, max_short: int = 10_000) -> DataFrame:
+    """(doc_id, item_id) where a text holds a quote, white space aside. A quote may begin and end
+    inside words, so its key is the first `words` of the words between; quotes meet only the texts
+    that have their key, then the whole quote is looked for. Quotes of one or two words have no such
+    key: they are a stated set, checked for size, that every text is searched for."""
+    t = texts.select("doc_id", T.squeeze(F.col("text")).alias("x"))
+    q = quotes.select("item_id", T.squeeze(F.col("text")).alias("q")).where("q <> ''").withColumn("qs", F.split("q", " "))
+    q = q.withColumn("n", F.least(F.lit(words), F.size("qs") - 2))
+    short = q.where("n < 1").select("item_id", "q")
+    q = q.where("n >= 1").withColumn("key", F.array_join(F.slice("qs", F.lit(2), F.col("n")), " "))
+    sizes = sorted(r.n for r in q.select("n").distinct().collect())  # at most `words` numbers
+    found = None
+    if sizes:
+        grams = [F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), _gram(n)) for n in sizes]
+        none = F.array().cast("array<string>")
+        every = F.concat(*[F.when(F.size("ws") >= n, g).otherwise(none) for n, g in zip(sizes, grams, strict=True)])
+        keys = q.select("key").distinct()
+        keys = F.broadcast(keys) if keys.count() <= 100_000 else keys
+        seen = t.withColumn("ws", F.split("x", " ")).select("doc_id", F.explode(F.array_distinct(every)).alias("key")).join(keys, "key", "left_semi")
+        pairs = seen.join(q.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+        found = pairs.join(t, "doc_id").join(q.select("item_id", "q"), "item_id").where(F.contains("x", F.col("q"))).select("doc_id", "item_id")
+    n = short.count()
+    if n > max_short:
+        raise ValueError(f"{n} quotes of one or two words; at most {max_short} can be searched for")
+    if n:
+        more = t.join(F.broadcast(short), F.contains("x", F.col("q"))).select("doc_id", "item_id")
+        found = more if found is None else found.unionByName(more)
+    return found if found is not None else t.join(q.select("item_id"), F.lit(False)).select("doc_id", "item_id")

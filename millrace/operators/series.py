@@ -61,7 +61,7 @@ def with_runs(df: DataFrame, cond: str | Column, key: Sequence[str] = KEY) -> Da
     return out.withColumn("run_start", F.when(F.col("cond"), F.max(F.when(F.col("_new"), F.col("t"))).over(upto))).drop("_new")
 
 
-def persistent(df: DataFrame, duration: str | Column = F.lit(0), key: Sequence[str] = KEY) -> DataFrame:
+def persistent(df: DataFrame, duration: str | Column = "0", key: Sequence[str] = KEY) -> DataFrame:
     """Alarms of with_runs() rows: one for each run that has a hit. A sample hits if its run has
     lasted strictly longer than `duration` seconds, or at once where that is 0."""
     d = F.expr(duration) if isinstance(duration, str) else duration
