@@ -1,0 +1,60 @@
+import hashlib
+import random
+import re
+
+from millrace.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def digits(s):
+    return [int(c) for c in s if c in "0123456789"]
+
+
+def luhn(ds):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(ds))) % 10 == 0
+
+
+def base(t):
+    out = [("email", *m.span()) for m in EMAIL.finditer(t)]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(t) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(t) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_base_spans_equal_the_patterns(sample):
+    rnd = random.Random(4)
+    alphabet = ["@", ".", "a", "b-", "1", "22", "255", "256", "+", " ", "-", "(", ")", "4111 1111 1111 1111", "é", "_", "%", "0.0", "..", "\n"]
+    texts = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 40))) for _ in range(4000)] + [r.text or "" for r in sample.collect()]
+    for t in texts:
+        assert [(s.kind, s.start, s.end) for s in pii.find(t) if s.kind in pii.BASE] == base(t), t
+
+
+def test_checksums_and_context():
+    kinds = lambda t: [s.kind for s in pii.find(t)]
+    assert kinds("IBAN DE89370400440532013000 here") == ["iban"]
+    assert kinds("IBAN DE89370400440532013001 here") == []
+    assert kinds('token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"') == ["secret"]
+    assert kinds("card 4111111111111111") == ["card"] and kinds("4111111111111112") == []
+    near, far = pii.find("visa card 4111111111111111")[0], pii.find("number 4111111111111111")[0]
+    assert near.score > far.score
+
+
+def test_linear_on_hostile_texts():
+    for t in ("1" * 300_000, "a" * 300_000 + "@", "a@" * 100_000, "1." * 100_000, "+1 " + " " * 200_000, "1 " * 100_000):
+        pii.find(t)
+
+
+def test_scan_and_redact(odd, none, clashing, spark):
+    rows = pii.scan(odd).collect()
+    assert len(rows) == 9 and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows)
+    assert pii.scan(clashing).count() == 9 and pii.scan(none).count() == 0
+    df = spark.createDataFrame([(1, "é mail a.b@c.de, call +1 (614) 555-8001!", 5), (2, None, 1)], "doc_id long, text string, n_chars long")
+    r = pii.scan(df).orderBy("doc_id").first()
+    assert (r.spans, r.n_email, r.n_phone) == ("email:7:15,phone:22:39", 1, 1)
+    out = pii.redact(df, length="n_chars").orderBy("doc_id").collect()
+    assert out[0].text == "é mail [EMAIL], call [PHONE]!" and out[0].n_chars == len(out[0].text)
+    assert out[1].text is None and pii.redact(odd).columns == odd.columns
