@@ -118,7 +118,8 @@ def detect(files: DataFrame, text: str = "text", keep: tuple[str, ...] = ("path"
 
 
 def _directory(path):
-    return F.regexp_replace(F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("")), "^$", ".")
+    own = F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    return F.when(path.isNotNull(), F.regexp_replace(own, "^$", "."))
 
 
 def inherit(found: DataFrame) -> DataFrame:

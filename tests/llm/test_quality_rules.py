@@ -47,7 +47,7 @@ def test_order_never_changes_the_verdict(sample):
 
 
 def test_junk_goes_clean_stays(spark):
-    clean = " ".join(f"word{i} and then the" for i in range(60))
+    clean = " ".join(f"word{i} of{i % 7} page{i % 5}" for i in range(60))
     junk = [" | ".join(f"w{i}" for i in range(80)), "\n".join(["same line of words here"] * 30), " ".join(f"WORD{i}!!" for i in range(80)), "few words"]
     df = spark.createDataFrame([(0, clean), *enumerate(junk, 1)], "doc_id long, text string")
     assert {r.doc_id for r in quality_rules.apply_rules(df).where("kept").collect()} == {0}
