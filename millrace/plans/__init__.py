@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detection, graphs, retrieval, stateful  # noqa: F401
+from . import detection, graphs, retrieval, stateful, verification  # noqa: F401
 from .registry import ORACLES, QUERIES, Tables
 
 
