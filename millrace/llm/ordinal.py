@@ -65,7 +65,7 @@ class Model:
         return np.diff(edges, axis=1)
 
 
-def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 12, rate: float = 0.15, l2: float = 1e-5, min_docs: int = 3, min_share: float = 0.002, seed: int = 5) -> Model:
+def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 12, rate: float = 0.15, l2: float = 3e-4, min_docs: int = 3, min_share: float = 0.002, seed: int = 5) -> Model:
     w = np.zeros(1 << BITS)
     share = np.cumsum(np.bincount(grades, minlength=n_grades) + 0.5)[:-1] / (len(grades) + 0.5 * n_grades)
     first = np.log(share / (1 - share))
