@@ -79,13 +79,15 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             texts = [(r[2] or b"").translate(LOWER) for r in rows]
             words, ids, lens = local_words(texts)
             hashes = hash_words([*words, _END])
-            # sorted, so that differences are small
+            often = np.append(np.bincount(ids, minlength=len(words)), len(lens))
+            # hashes are kept sorted, as differences; words are numbered by falling frequency, so
+            # that most of the stream is small numbers
             order = np.argsort(hashes)
+            by_count = _by_count(often[order])
             rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order))
-            ends = np.cumsum(lens)
-            stream = np.insert(rank[ids], ends, rank[-1])
-            blob = pack(words=np.diff(hashes[order], prepend=np.uint64(0)), stream=stream.astype(np.int32), lens=(lens + 1).astype(np.int32), end=np.array([rank[-1]], np.int32))
+            rank[order[by_count]] = np.arange(len(order))
+            stream = np.insert(rank[ids], np.cumsum(lens), rank[-1])
+            blob = pack(words=np.diff(hashes[order], prepend=np.uint64(0)), often=often[order].astype(np.int32), stream=stream.astype(np.int32), lens=(lens + 1).astype(np.int32), end=np.array([rank[-1]], np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([base + k]), pa.array([len(stream)], pa.int64()), pa.array([len(order)], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.bool_())), pa.array([blob], pa.binary())],
                 ["chunk", "n_tokens", "n_words", "ids", "held", "blob"],
@@ -94,16 +96,21 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _by_count(often: np.ndarray) -> np.ndarray:
+    return np.argsort(-often, kind="stable")
+
+
 class _Chunk:
     """A chunk's tokens with what the answers so far say."""
 
     def __init__(self, row):
         a = unpack(row["blob"])
-        self.hashes = np.cumsum(a["words"], dtype=np.uint64)
+        self.sorted = np.cumsum(a["words"], dtype=np.uint64)
+        self.by_count = _by_count(a["often"])  # place among the sorted hashes of each word
         self.stream, self.lens, self.end = a["stream"], a["lens"].astype(np.int64), int(a["end"][0])
         self.starts = np.cumsum(self.lens) - self.lens
         self.train = np.repeat(~np.asarray(row["held"], bool), self.lens)
-        self.nw = len(self.hashes)
+        self.nw = len(self.sorted)
         # of each order: place of every token's k-gram among the distinct ones, and their counts and numbers
         self.local = [self.stream.astype(np.int64)]
         self.counts: list[np.ndarray] = []
@@ -114,7 +121,9 @@ class _Chunk:
         self.backoff: list = [None]
 
     def unigram_request(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.hashes, np.bincount(self.stream[self.train], minlength=self.nw)
+        count = np.empty(self.nw, np.int64)
+        count[self.by_count] = np.bincount(self.stream[self.train], minlength=self.nw)
+        return self.sorted, count
 
     def grams(self):
         """Distinct k-grams of the next order: context (n for the start), word, training count, and
@@ -167,7 +176,7 @@ def _plan(c: _Chunk, docs: int, n_buckets: int, hot: int):
     return ctx, word, count, lower, inv, nos, totals, bucket, order, many[by], where[by]
 
 
-def _requests(c: _Chunk, lower_p: np.ndarray | None, docs: int, n_buckets: int, hot: int):
+def _requests(c: _Chunk, docs: int, n_buckets: int, hot: int):
     ctx, word, count, lower, inv, nos, totals, bucket, order, asked, where = _plan(c, docs, n_buckets, hot)
     b = bucket[order]
     edges = np.searchsorted(b, np.arange(n_buckets + 1))
@@ -177,12 +186,15 @@ def _requests(c: _Chunk, lower_p: np.ndarray | None, docs: int, n_buckets: int,
             continue
         own, at = asked[asks[k] : asks[k + 1]], order[edges[k] : edges[k + 1]]
         lens = np.searchsorted(ctx[at], own, "right") - np.searchsorted(ctx[at], own, "left")
-        p = np.where(count[at] > 0, lower_p[lower[at]], 0.0)
-        yield k, pack(ctx=nos[own], lens=lens.astype(np.int32), word=c.numbers[0][word[at]], count=count[at].astype(np.int64), lower=p)
+        # what the probability one order below is made of: a count, and its context's N above unigrams
+        low = np.where(count[at] > 0, c.counts[-1][lower[at]], 0)
+        whole = c.backoff[-1][0][c.ctx[-1][lower[at]]] if len(c.counts) > 1 else np.empty(0)
+        yield k, pack(ctx=nos[own], lens=lens.astype(np.int32), word=c.numbers[0][word[at]], count=count[at].astype(np.int64), low=low.astype(np.int64), whole=whole)
 
 
-def _answers(rows: pd.DataFrame, bucket: int, gt_max: int):
-    """Of one bucket at one order: (chunk, blob) for each row, and the count-of-counts."""
+def _answers(rows: pd.DataFrame, bucket: int, gt_max: int, below: Discounts, whole: float, last: bool):
+    """Of one bucket at one order: (chunk, blob) for each row, and the count-of-counts. below, whole:
+    discounts one order below, and N of unigrams. The last order's k-grams get no numbers."""
     asks = [unpack(x) for x in rows["blob"]]
     ctx_all = np.concatenate([a["ctx"] for a in asks])
     ctx_ids, ctx_inv = np.unique(ctx_all, return_inverse=True)
@@ -191,7 +203,8 @@ def _answers(rows: pd.DataFrame, bucket: int, gt_max: int):
     entry_ctx = np.repeat(ctx_inv, lens)
     word_ids, word_inv = np.unique(np.concatenate([a["word"] for a in asks]), return_inverse=True)
     count = np.concatenate([a["count"] for a in asks])
-    lower = np.concatenate([a["lower"] for a in asks])
+    wholes = np.concatenate([a["whole"] for a in asks])
+    lower = below.of(np.concatenate([a["low"] for a in asks])) / (wholes if len(wholes) else max(whole, 1.0))
     pairs, inv = np.unique(entry_ctx * max(1, len(word_ids)) + word_inv, return_inverse=True)
     total = np.bincount(inv, count, len(pairs)).astype(np.int64)
     low = np.zeros(len(pairs))
@@ -204,7 +217,7 @@ def _answers(rows: pd.DataFrame, bucket: int, gt_max: int):
     for k, chunk in enumerate(rows["chunk"]):
         e, c = inv[at_e[k] : at_e[k + 1]], ctx_inv[at_c[k] : at_c[k + 1]]
         few = {f"r{r + 1}": small[r][c].astype(np.int32) for r in range(gt_max)}
-        yield chunk, pack(total=total[e], number=(np.int64(bucket) << 34) + e, mass=mass[c], **few)
+        yield chunk, pack(total=total[e], number=np.empty(0, np.int64) if last else (np.int64(bucket) << 34) + e, mass=mass[c], **few)
     yield -1, seen.astype(np.int64)
 
 
@@ -212,10 +225,12 @@ def _unigram_answers(rows: pd.DataFrame, bucket: int, gt_max: int):
     asks = [unpack(x) for x in rows["blob"]]
     keys, inv = np.unique(np.concatenate([np.cumsum(a["keys"], dtype=np.uint64) for a in asks]), return_inverse=True)
     total = np.bincount(inv, np.concatenate([a["count"] for a in asks]), len(keys)).astype(np.int64)
+    rank = np.empty(len(keys), np.int64)
+    rank[_by_count(total)] = np.arange(len(keys))  # frequent words get small numbers
     at = np.cumsum([0, *[len(a["keys"]) for a in asks]])
     for k, chunk in enumerate(rows["chunk"]):
         e = inv[at[k] : at[k + 1]]
-        yield chunk, pack(total=total[e], number=(np.int64(bucket) << 34) + e)
+        yield chunk, pack(total=total[e], number=(np.int64(bucket) << 34) + rank[e])
     seen = np.bincount(np.minimum(total, gt_max + 2), minlength=gt_max + 3)[: gt_max + 2].astype(np.int64)
     yield -1, np.concatenate((seen, [total.sum(), (total > 0).sum()]))
 
@@ -241,12 +256,14 @@ def _load(c: _Chunk, answers: pd.DataFrame, upto: int, p: _Params) -> None:
         got = [unpack(x) for x in rows["blob"]]
         joined = {f: np.concatenate([g[f] for g in got]) for f in got[0]}
         if k == 1:
-            c.counts.append(joined["total"])
-            c.numbers.append(joined["number"])
+            c.counts.append(joined["total"][c.by_count])
+            c.numbers.append(joined["number"][c.by_count])
             continue
         ctx, word, _, lower, inv, nos, totals, _, order, asked, _ = _plan(c, p.docs, p.n_buckets, p.hot)
         total, number = np.empty(len(ctx), np.int64), np.empty(len(ctx), np.int64)
-        total[order], number[order] = joined["total"], joined["number"]
+        total[order] = joined["total"]
+        if len(joined["number"]):
+            number[order] = joined["number"]
         n = len(totals)
         off = sum(d * np.bincount(asked, joined[f"r{r + 1}"], n) for r, d in enumerate(p.discounts[k - 1].less))
         mass = np.bincount(asked, joined["mass"], n)
@@ -333,10 +350,13 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: in
             c = _Chunk(chunk.iloc[0])
             _load(c, said, k - 1, p)
             own = int(chunk["chunk"].iloc[0])
-            out = [(b, own, x) for b, x in _requests(c, _probabilities(c, k - 1, p)[-1], p.docs, p.n_buckets, p.hot)]
+            out = [(b, own, x) for b, x in _requests(c, p.docs, p.n_buckets, p.hot)]
             return pd.DataFrame(out, columns=["bucket", "chunk", "blob"])
 
-        answers.append(_ask(_cogrouped(chunks, answers, _keyed(ask_grams), "bucket long, chunk long, blob binary"), k, gt_max, _answers))
+        def answer(rows, bucket, gt_max, below=p.discounts[k - 2], whole=p.whole, last=k == order):
+            return _answers(rows, bucket, gt_max, below, whole, last)
+
+        answers.append(_ask(_cogrouped(chunks, answers, _keyed(ask_grams), "bucket long, chunk long, blob binary"), k, gt_max, answer))
         p.discounts.append(good_turing(counted(answers[-1])[: gt_max + 2], gt_max))
 
     def evaluate(_, chunk: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
