@@ -11,7 +11,9 @@ Reading. The bytes of a payload may hold the magic that begins a record. Each ta
 every place in its file where the magic stands with a header that parses, as a candidate, with the
 offset of the record that would follow. Pointer jumping from offset 0 of each file (reach the
 successors of what is reached, then double the pointers' length) retains the records of the chain
-and rejects what lies inside payloads, in rounds that grow with the logarithm of the longest chain.
+and rejects what lies inside payloads. A task also says where the walk from each candidate leaves
+its block of the file; jumping goes over these leaps, so that its rounds grow with the logarithm of
+a file's blocks, and each block's own part of the chain is then walked once.
 
 Control characters in URLs are percent-encoded in the header. A null page_id or url gives no such
 header line and reads back as null. Rows that repeat a page_id stay separate records.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,10 +97,10 @@ def parse(data: bytes):
         at = data.find(MAGIC, at + 1)
 
 
-CANDIDATE = "path string, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean"
+CANDIDATE = "path string, at long, next long, leap long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean"
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
+def candidates(spark: SparkSession, path: str, block: int = 8 << 20) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def number(x):
@@ -109,40 +112,62 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
                 out = []
                 data = data.as_py()
-                for at, nxt, h, payload in parse(data):
+                ahead = leaps([(at, nxt) for at, nxt, _, _ in parse(data)], block)
+                for (at, nxt, h, payload), leap in zip(parse(data), ahead, strict=True):
                     kind = h.get("warc-type")
                     own = hashlib.sha256(payload).hexdigest()
                     said = h.get("warc-payload-digest", "").removeprefix("sha256:")
                     full = kind != "revisit"
-                    out.append((name.as_py(), at, nxt, number(h.get("x-page-id")), len(payload) if full else number(h.get("x-payload-length")), own if full else said, kind, number(h.get("x-refers-to-page")), h.get("warc-target-uri"), not full or own == said))
+                    out.append((name.as_py(), at, nxt, leap, number(h.get("x-page-id")), len(payload) if full else number(h.get("x-payload-length")), own if full else said, kind, number(h.get("x-refers-to-page")), h.get("warc-target-uri"), not full or own == said))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)] if out else [pa.array([], t) for t in schema.types], schema=schema)
 
     return files.mapInArrow(run, CANDIDATE)
 
 
-def chain(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(path, at) of edges(path, at, next) that a walk from offset 0 of each path reaches. After k
-    rounds all within 2^k steps are reached."""
-    jump = edges.select("path", "at", "next").where("next > at").checkpoint()
+def leaps(edges: list[tuple[int, int]], block: int) -> list[int]:
+    """For edges (at, next) by rising at: where the walk from at first leaves its block of `block`
+    bytes, or ends."""
+    out: dict[int, int] = {}
+    for at, nxt in reversed(edges):
+        out[at] = out[nxt] if nxt // block == at // block and nxt in out else nxt
+    return [out[at] for at, _ in edges]
+
+
+def chain(edges: DataFrame, block: int = 8 << 20, max_rounds: int = 60) -> DataFrame:
+    """(path, at) of edges(path, at, next, leap) that a walk from offset 0 of each path reaches.
+    Pointer jumping over leaps, which skip what lies in one block, finds where the walk enters each
+    block: after k rounds all entries within 2^k leaps. Then every block is walked by itself."""
+    jump = edges.select("path", "at", F.col("leap").alias("next")).checkpoint()
     places = jump.select("path", "at")
-    reached = jump.where("at = 0").select("path", "at").distinct()
-    n = reached.count()
+    entered = jump.where("at = 0").select("path", "at").distinct()
+    n = entered.count()
     for _ in range(max_rounds):
-        far = reached.join(jump, ["path", "at"]).select("path", F.col("next").alias("at"))
         # the last record's successor is the end of the file, where no record stands
-        reached = reached.unionByName(far.join(places, ["path", "at"], "left_semi")).distinct().checkpoint()
-        if (m := reached.count()) == n:
+        far = entered.join(jump, ["path", "at"]).select("path", F.col("next").alias("at")).join(places, ["path", "at"], "left_semi")
+        entered = entered.unionByName(far).distinct().checkpoint()
+        if (m := entered.count()) == n:
             break
         n = m
         ahead = jump.select("path", F.col("at").alias("next"), F.col("next").alias("beyond"))
         jump = jump.join(ahead, ["path", "next"]).select("path", "at", F.col("beyond").alias("next")).checkpoint()
-    return reached
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        on = dict(zip(pdf["at"], pdf["next"], strict=True))
+        seen: list[int] = []
+        for at in sorted(pdf.loc[pdf["entry"], "at"]):
+            while at in on and (not seen or at > seen[-1]):
+                seen.append(at)
+                at = on[at]
+        return pd.DataFrame({"path": pdf["path"].iloc[0], "at": pd.Series(seen, dtype="int64")})
+
+    marked = edges.select("path", "at", "next").join(entered.withColumn("entry", F.lit(True)), ["path", "at"], "left").withColumn("entry", F.col("entry").isNotNull())
+    return marked.groupBy("path", F.floor(F.col("at") / block).alias("b")).applyInPandas(walk, "path string, at long")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files in the folder `path`: CANDIDATE's columns without next."""
-    found = save(candidates(spark, path), "warc-candidates")
-    return found.join(chain(found), ["path", "at"], "left_semi").drop("next")
+def read(spark: SparkSession, path: str, block: int = 8 << 20) -> DataFrame:
+    """The records of the WARC files in the folder `path`: CANDIDATE's columns without next and leap."""
+    found = save(candidates(spark, path, block), "warc-candidates")
+    return found.join(chain(found, block), ["path", "at"], "left_semi").drop("next", "leap")
 
 
 def roundtrip(pages: DataFrame, **options) -> DataFrame:

@@ -55,9 +55,12 @@ def test_files_are_plain_warc(spark, tmp_path):
 
 
 def test_chain_of_many_steps(spark):
-    edges = spark.createDataFrame([("f", 10 * i, 10 * i + 10) for i in range(1000)] + [("f", 5, 1000), ("g", 3, 9), ("h", 0, 4)], "path string, at long, next long")
-    got = {(r.path, r.at) for r in warc.chain(edges).collect()}
-    assert got == {("f", 10 * i) for i in range(1000)} | {("h", 0)}
+    files = {"f": sorted([(10 * i, 10 * i + 10) for i in range(1000)] + [(5, 1000), (1005, 1015), (1015, 1020)]), "g": [(3, 9)], "h": [(0, 4)]}
+    want = {("f", 10 * i) for i in range(1000)} | {("h", 0)}
+    for block in (7, 64, 1 << 20):
+        rows = [(f, at, nxt, leap) for f, es in files.items() for (at, nxt), leap in zip(es, warc.leaps(es, block), strict=True)]
+        edges = spark.createDataFrame(rows, "path string, at long, next long, leap long")
+        assert {(r.path, r.at) for r in warc.chain(edges, block).collect()} == want
 
 
 def test_empty(spark):
