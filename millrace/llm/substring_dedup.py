@@ -59,25 +59,19 @@ def _firsts(h: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> tuple[np.nd
     return lead, lead == np.arange(len(h))
 
 
-def _spans(starts: np.ndarray, src: np.ndarray, src_start: np.ndarray) -> bytes:
-    """Found windows of one document: starts, source documents and how far the source lies ahead."""
-    by = np.argsort(starts, kind="stable")
-    starts, src, ahead = starts[by], src[by], (src_start - starts)[by]
-    return pack(s=np.diff(starts, prepend=0).astype(np.int32), d=np.diff(src, prepend=0), a=np.diff(ahead, prepend=0))
-
-
-def _per_document(docs: np.ndarray, starts, src, src_start):
-    order = np.argsort(docs, kind="stable")
-    docs = docs[order]
-    edges = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1], [True]))) if len(docs) else []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        at = order[a:b]
-        yield int(docs[a]), _spans(starts[at], src[at], src_start[at])
+def _late(doc, starts, src, src_start, **more) -> bytes:
+    """Windows that occur earlier, by document (its place in the chunk) and start: documents with
+    their counts, starts, source documents and how far the source lies ahead, as differences."""
+    by = np.lexsort((starts, doc))
+    there, size = np.unique(doc, return_counts=True)
+    starts, src = starts[by], src[by]
+    return pack(i=there.astype(np.int32), n=size.astype(np.int32), s=np.diff(starts, prepend=0).astype(np.int32), src=np.diff(src, prepend=0), a=np.diff(src_start[by] - starts, prepend=0), **more)
 
 
 def _requests(rows: DataFrame, width: int, chunk_bytes: int, buckets: int) -> DataFrame:
-    """bucket, blob: windows to look up; bucket -1 - k, doc, row, blob: windows settled in the chunk."""
-    schema = "bucket long, doc long, row long, blob binary"
+    """bucket, chunk, blob: windows to look up; in buckets below 0, a row for each chunk with its
+    documents and the windows that are settled in the chunk."""
+    schema = "bucket long, chunk long, blob binary"
 
     def run(batches):
         pid = TaskContext.get().partitionId()
@@ -93,8 +87,7 @@ def _requests(rows: DataFrame, width: int, chunk_bytes: int, buckets: int) -> Da
             out = []
             # equal places of rows that share a doc_id are no earlier
             late = ~first & ~((own == own[lead]) & (start == start[lead]))
-            for d, blob in _per_document(doc[late], start[late], own[lead[late]], start[lead[late]]):
-                out.append((-1 - (pid * 7919 + k) % buckets, int(doc_ids[d]), int(row_ids[d]), blob))
+            out.append((-1 - (31 * pid + k) % buckets, _late(doc[late], start[late], own[lead[late]], start[lead[late]], d=doc_ids, r=row_ids)))
             sent = ~late  # the first, and those that stand at its place in a repeated row
             bucket = (h[sent] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -104,23 +97,19 @@ def _requests(rows: DataFrame, width: int, chunk_bytes: int, buckets: int) -> Da
                 if edges[b] < edges[b + 1]:
                     s = slice(edges[b], edges[b + 1])
                     there, size = np.unique(db[s], return_counts=True)
-                    out.append((b, None, None, pack(h=hb[s], s=np.diff(sb[s], prepend=0).astype(np.int32), n=size.astype(np.int32), d=doc_ids[there], r=row_ids[there])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "doc", "row", "blob"])
+                    out.append((b, pack(h=hb[s], s=np.diff(sb[s], prepend=0).astype(np.int32), n=size.astype(np.int32), i=np.diff(there, prepend=0).astype(np.int32), d=np.diff(doc_ids[there], prepend=0))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([(pid << 32) + k] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "chunk", "blob"])
 
     return rows.mapInArrow(run, schema)
 
 
 def _look_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block: for each document, its windows that occur earlier. Settled ones pass through."""
+    """One block: for each chunk that asks, its windows that occur earlier, one row a chunk. Settled
+    ones pass through."""
     if key[0] < 0:
-        return pdf[["doc", "row", "blob"]]
+        return pdf[["chunk", "blob"]]
     asks = [unpack(x) for x in pdf["blob"]]
-    n = np.concatenate([a["n"] for a in asks])
     h = np.concatenate([a["h"] for a in asks])
-    start = np.concatenate([np.cumsum(a["s"], dtype=np.int64) for a in asks])
-    doc_id = np.concatenate([a["d"] for a in asks])
-    row = np.concatenate([a["r"] for a in asks])
-    of = np.repeat(np.arange(len(n)), n)
     # only windows that occur more than once are worth the full sort
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
@@ -128,12 +117,35 @@ def _look_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
     many[order[1:][same]] = True
     many[order[:-1][same]] = True
     at = np.flatnonzero(many)
-    hm, sm, om = h[at], start[at], of[at]
-    dm = doc_id[om]
-    lead, first = _firsts(hm, dm, sm)
-    late = ~first & ~((dm == dm[lead]) & (sm == sm[lead]))
-    out = [(int(doc_id[k]), int(row[k]), blob) for k, blob in _per_document(om[late], sm[late], dm[lead[late]], sm[lead[late]])]
-    return pd.DataFrame({"doc": pd.Series([x[0] for x in out], dtype="int64"), "row": pd.Series([x[1] for x in out], dtype="int64"), "blob": pd.Series([x[2] for x in out], dtype=object)})
+    n = np.concatenate([a["n"] for a in asks])
+    of = np.repeat(np.arange(len(n)), n)[at]
+    doc_id = np.concatenate([np.cumsum(a["d"]) for a in asks])
+    place = np.concatenate([np.cumsum(a["i"], dtype=np.int64) for a in asks])
+    start = np.concatenate([np.cumsum(a["s"], dtype=np.int64) for a in asks])[at]
+    own = doc_id[of]
+    lead, first = _firsts(h[at], own, start)
+    late = ~first & ~((own == own[lead]) & (start == start[lead]))
+    edge = np.cumsum([0, *[len(a["n"]) for a in asks]])
+    out = []
+    for k, chunk in enumerate(pdf["chunk"]):
+        mine = late & (of >= edge[k]) & (of < edge[k + 1])
+        if mine.any():
+            out.append((chunk, _late(place[of[mine]], start[mine], own[lead[mine]], start[lead[mine]])))
+    return pd.DataFrame({"chunk": pd.Series([x[0] for x in out], dtype="int64"), "blob": pd.Series([x[1] for x in out], dtype=object)})
+
+
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What all blocks say of one chunk, by document."""
+    got = [unpack(x) for x in pdf["blob"]]
+    docs = next(g for g in got if "d" in g)
+    i = np.concatenate([np.repeat(g["i"], g["n"]) for g in got])
+    d, r = docs["d"][i], docs["r"][i]
+    s, src, ahead = (np.concatenate([np.cumsum(g[k], dtype=np.int64) for g in got]) for k in ("s", "src", "a"))
+    by = np.lexsort((s, r, d))
+    d, r, s, src, ahead = d[by], r[by], s[by], src[by], ahead[by]
+    edges = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]), [True]))) if len(d) else np.empty(0, np.int64)
+    out = [(d[a], r[a], pack(s=np.diff(s[a:b], prepend=0).astype(np.int32), d=np.diff(src[a:b], prepend=0), a=np.diff(ahead[a:b], prepend=0))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pd.DataFrame(out, columns=["doc", "row", "blob"])
 
 
 def parse(blobs: list[bytes], width: int) -> list[tuple[int, int, int, int]]:
@@ -144,12 +156,14 @@ def parse(blobs: list[bytes], width: int) -> list[tuple[int, int, int, int]]:
     s, d, a = (np.concatenate([np.cumsum(g[k], dtype=np.int64) for g in got]) for k in "sda")
     by = np.argsort(s, kind="stable")
     s, d, a = s[by], d[by], a[by]
+    once = np.concatenate(([True], s[1:] != s[:-1]))  # rows that repeat an id and a text say the same
+    s, d, a = s[once], d[once], a[once]
     cut = np.concatenate(([True], (s[1:] != s[:-1] + 1) | (d[1:] != d[:-1]) | (a[1:] != a[:-1])))
     edges = np.append(np.flatnonzero(cut), len(s))
     return [(int(s[i]), int(s[j - 1] - s[i]) + width, int(d[i]), int(s[i] + a[i])) for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def found_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 20, chunk_bytes: int = 8 << 20, bucket_windows: int = 2_500_000) -> DataFrame:
+def found_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 20, chunk_bytes: int = 8 << 20, bucket_windows: int = 1_200_000) -> DataFrame:
     """(doc, row, blobs): for each document with windows that occur earlier, what parse() reads. row
     is a hash of the text, which tells rows apart that share a doc_id."""
     raw = F.col(text).cast("binary")
@@ -157,7 +171,8 @@ def found_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-size // (6 * bucket_windows)))  # a word and its space take about six bytes
     asked = _requests(rows, width, chunk_bytes, buckets)
-    return asked.groupBy("bucket").applyInPandas(_look_up, "doc long, row long, blob binary").groupBy("doc", "row").agg(F.collect_list("blob").alias("blobs"))
+    answers = asked.groupBy("bucket").applyInPandas(_look_up, "chunk long, blob binary")
+    return answers.groupBy("chunk").applyInPandas(_gather, "doc long, row long, blob binary").groupBy("doc", "row").agg(F.collect_list("blob").alias("blobs"))
 
 
 def _joined(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
