@@ -84,7 +84,7 @@ def _pivot(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> tuple[np.ndarra
     return p, held
 
 
-def round_dependently(df: DataFrame, group: str = "g", key: str = "k", seed: int = 11, part_rows: int = 20_000, fan_in: int = 1024) -> DataFrame:
+def round_dependently(df: DataFrame, group: str = "g", key: str = "k", seed: int = 11, part_rows: int = 2_000, fan_in: int = 1024) -> DataFrame:
     """df has columns `group` (long), `key` (long, equal rows may share it), size (long), p (double in
     0..1). Returns df with `one`: 1 where the draw takes the row, else 0."""
     names = df.columns
@@ -125,7 +125,7 @@ def round_dependently(df: DataFrame, group: str = "g", key: str = "k", seed: int
         work = step.where("_open").withColumn("_part", F.floor(F.col("_part") / fan_in) if most > 1 else F.lit(0).cast("long"))
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: int = 11, part_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: int = 11, part_rows: int = 2_000) -> DataFrame:
     """doc_id, size, source_size, target (double, of the source), copies and taken (size * copies)."""
     sized = save(with_size(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))).select("doc_id", "source", "size"), "mix-sizes")
     goals = source_targets(sized, weights=weights)
