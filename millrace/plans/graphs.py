@@ -297,6 +297,14 @@ def evidence_path_check(tb):
     return p.withColumn("nxt", F.lead("a").over(w)).groupBy("path").agg(F.count("*").alias("steps"), F.bool_and("known").alias("edges_known"), F.count_if(F.col("nxt") < F.col("a")).alias("breaks"))
 
 
+@query("WITH p AS (SELECT l_orderkey AS path, l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS nxt, l_partkey % 5 > 0 AS known FROM lineitem) SELECT path, count(*) AS steps, bool_and(known) AS edges_known, count(*) FILTER (nxt < a) AS breaks FROM p GROUP BY path")
+def evidence_path_check_all(tb):
+    """evidence_path_check over every path."""
+    w = W.partitionBy("path").orderBy("step", "a")
+    p = tb.lineitem.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("step"), F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 5 > 0).alias("known"))
+    return p.withColumn("nxt", F.lead("a").over(w)).groupBy("path").agg(F.count("*").alias("steps"), F.bool_and("known").alias("edges_known"), F.count_if(F.col("nxt") < F.col("a")).alias("breaks"))
+
+
 @query("SELECT doc_id, substring(text, 11, 30) = substring(text, 11, 30) AND sha256(substring(text, 11, 30)) <> sha256(substring(text, 12, 30)) AS span_ok FROM documents WHERE length(text) > 60")
 def span_integrity(tb):
     """Claims that quote a span: the text at its offsets has the claim's hash, a shifted one doesn't."""
@@ -312,6 +320,14 @@ def run_equivalence(tb):
     return a.exceptAll(b).select(F.lit("a").alias("side"), "*").unionByName(b.exceptAll(a).select(F.lit("b").alias("side"), "*"))
 
 
+@query("WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem), b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 97 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM a) SELECT 'a' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'b', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def run_equivalence_all(tb):
+    """run_equivalence over every row."""
+    a = tb.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
+    b = a.withColumn("l_quantity", F.when(F.col("l_orderkey") % 97 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return a.exceptAll(b).select(F.lit("a").alias("side"), "*").unionByName(b.exceptAll(a).select(F.lit("b").alias("side"), "*"))
+
+
 @query("SELECT l_returnflag AS part, count(*) AS n, sha256(string_agg(sha256(l_orderkey || '|' || l_linenumber), '' ORDER BY l_orderkey, l_linenumber)) AS seal FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_returnflag")
 def sealed_manifest(tb):
     """A hash of each part's row hashes in order of the key: any changed row changes it."""
@@ -319,6 +335,14 @@ def sealed_manifest(tb):
     return r.groupBy("part").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("k", "h"))).alias("xs")).select("part", "n", T.sha256(F.array_join(F.transform("xs", lambda x: x["h"]), "")).alias("seal"))
 
 
+@query("WITH b AS (SELECT l_returnflag AS part, l_orderkey // 1000 AS block, count(*) AS n, sha256(string_agg(sha256(l_orderkey || '|' || l_linenumber), '' ORDER BY l_orderkey, l_linenumber)) AS seal FROM lineitem GROUP BY part, block) SELECT part, sum(n)::BIGINT AS n, sha256(string_agg(seal, '' ORDER BY block)) AS seal FROM b GROUP BY part")
+def sealed_manifest_all(tb):
+    """Every row sealed: a hash of the hashes of blocks of 1000 keys, so that no part meets in one row."""
+    r = tb.lineitem.select(F.col("l_returnflag").alias("part"), F.floor(F.col("l_orderkey") / 1000).alias("block"), F.struct("l_orderkey", "l_linenumber").alias("k"), T.sha256(F.concat_ws("|", "l_orderkey", "l_linenumber")).alias("h"))
+    b = r.groupBy("part", "block").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("k", "h"))).alias("xs")).select("part", "block", "n", T.sha256(F.array_join(F.transform("xs", lambda x: x["h"]), "")).alias("h"))
+    return b.groupBy("part").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("block", "h"))).alias("xs")).select("part", "n", T.sha256(F.array_join(F.transform("xs", lambda x: x["h"]), "")).alias("seal"))
+
+
 @query("WITH m AS (SELECT user_id, count(*) AS n, list_sort(list(DISTINCT event_type)) AS kinds FROM events GROUP BY user_id) SELECT user_id, n, array_to_string(kinds, ',') AS kinds, len(list_filter(['click', 'error'], lambda x: NOT list_contains(kinds, x))) = 0 AS coverage_complete FROM m")
 def coverage_sets(tb):
     g = tb.events.groupBy("user_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("event_type")).alias("kinds"))

@@ -126,6 +126,14 @@ def overlay_loader_checks(tb):
     return e.where("src = dst").select("id", F.lit("self_loop").alias("code")).unionByName(lost)
 
 
+@query("WITH e AS (SELECT o_orderkey AS id, o_custkey AS src, o_orderkey % 1700 AS dst FROM orders) SELECT id, 'self_loop' AS code FROM e WHERE src = dst UNION ALL SELECT id, 'unresolved' FROM e WHERE dst NOT IN (SELECT c_custkey FROM customer)")
+def overlay_loader_checks_all(tb):
+    """overlay_loader_checks over every order."""
+    e = tb.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1700).alias("dst"))
+    lost = e.join(tb.customer, F.col("dst") == F.col("c_custkey"), "left_anti").select("id", F.lit("unresolved").alias("code"))
+    return e.where("src = dst").select("id", F.lit("self_loop").alias("code")).unionByName(lost)
+
+
 @query("WITH c(rel, a, b) AS (VALUES ('inNation', 'S1', 'N1'), ('inNation', 'N1', 'S1'), ('inRegion', 'N1', 'R1'), ('inRegion', 'N1', 'R99')) SELECT rel, a, b, CASE WHEN rel = 'inNation' AND a LIKE 'S%' AND b LIKE 'N%' THEN 'accepted' WHEN rel = 'inRegion' AND a LIKE 'N%' AND b LIKE 'R%' AND b <> 'R99' THEN 'accepted' ELSE 'rejected' END AS verdict FROM c")
 def relation_candidates(tb):
     """Candidate relations whose ends exist with the types that the relation needs."""
