@@ -85,6 +85,13 @@ def fused_with_tail(tb):
     return R.with_tail(top, tb.documents.select(F.col("doc_id").alias("doc"))).select("query", "doc", F.col("position").cast("long").alias("position"))
 
 
+@query(f"WITH {BM25_SQL}, {IDF_SQL}, {RANKS_SQL}, f5 AS (SELECT * FROM fr WHERE rank <= 5 AND query % 100 = 0), al AS (SELECT DISTINCT query FROM f5), x AS (SELECT al.query, doc_id AS doc, row_number() OVER (PARTITION BY al.query ORDER BY rank NULLS LAST, doc_id) AS position FROM al CROSS JOIN documents LEFT JOIN f5 ON f5.query = al.query AND f5.doc = doc_id) SELECT query, doc, position FROM x")
+def fused_with_tail_all(tb):
+    """fused_with_tail for the stated query set: ids divisible by 100."""
+    top = fused(tb, 5).where("query % 100 = 0").select("query", "doc", "rank")
+    return R.with_tail(top, tb.documents.select(F.col("doc_id").alias("doc"))).select("query", "doc", F.col("position").cast("long").alias("position"))
+
+
 @query("WITH x AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents) SELECT doc_id, lang, row_number() OVER (ORDER BY rn, lang) AS position FROM x WHERE rn <= 25")
 def round_robin_facets(tb):
     """The 25 longest of each language, interleaved; cut to the few before they meet in one order."""
@@ -161,6 +168,12 @@ def fixed_chunks(tb):
     return tb.documents.where("lang = 'en'").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c")).select("doc_id", "c.start")
 
 
+@query("SELECT doc_id, unnest(list_transform(range(0, greatest(1, ceil((length(text) - 200) / 800.0)::INT)), lambda i: i * 800))::INTEGER AS start FROM documents")
+def fixed_chunks_all(tb):
+    """fixed_chunks in every language, and none."""
+    return tb.documents.select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c")).select("doc_id", "c.start")
+
+
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text_sha256, length(text) AS n, source || ' | ' || lang || chr(10) || substring(text, 1, 40) AS embedding_text FROM documents")
 def scalar_text(tb):
     return tb.documents.select("doc_id", T.sha256(T.squeeze(F.col("text"))).alias("text_sha256"), F.length("text").cast("long").alias("n"), T.embedding_text(F.col("source"), F.col("lang"), F.substring("text", 1, 40)).alias("embedding_text"))

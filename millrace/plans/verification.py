@@ -82,6 +82,14 @@ def line_blocks(tb):
     return x.withColumn("block", b).groupBy("doc_id", "block").agg(F.count("*").alias("lines"), F.sum(F.length("l")).alias("chars"))
 
 
+@query("WITH l AS (SELECT doc_id, unnest(list_transform(range(1, len(string_split(text, chr(10))) + 1), lambda i: {'i': i, 'l': string_split(text, chr(10))[i]})) AS x FROM documents), g AS (SELECT doc_id, x.i AS i, x.l AS l, sum(CASE WHEN length(x.l) > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY x.i) AS block FROM l) SELECT doc_id, block::BIGINT AS block, count(*) AS lines, sum(length(l))::BIGINT AS chars FROM g GROUP BY doc_id, block")
+def line_blocks_all(tb):
+    """line_blocks of every document."""
+    x = tb.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    b = F.sum((F.length("l") > 300).cast("long")).over(W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    return x.withColumn("block", b).groupBy("doc_id", "block").agg(F.count("*").alias("lines"), F.sum(F.length("l")).alias("chars"))
+
+
 @query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id LIMIT 50")
 def recent_listing(tb):
     return tb.events.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id")
