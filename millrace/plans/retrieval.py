@@ -179,6 +179,12 @@ def scalar_text(tb):
     return tb.documents.select("doc_id", T.sha256(T.squeeze(F.col("text"))).alias("text_sha256"), F.length("text").cast("long").alias("n"), T.embedding_text(F.col("source"), F.col("lang"), F.substring("text", 1, 40)).alias("embedding_text"))
 
 
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text_sha256, length(text) AS n, sha256(source || ' | ' || lang || chr(10) || text) AS embedding_sha256 FROM documents")
+def scalar_text_all(tb):
+    """scalar_text with the hash of the embedding text of the whole text."""
+    return tb.documents.select("doc_id", T.sha256(T.squeeze(F.col("text"))).alias("text_sha256"), F.length("text").cast("long").alias("n"), T.sha256(T.embedding_text(F.col("source"), F.col("lang"), F.col("text"))).alias("embedding_sha256"))
+
+
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings")
 def normalized_vectors(tb):
     e = F.col("embedding")
@@ -199,6 +205,13 @@ def evidence_universe(tb):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "kind", F.length("text").cast("long").alias("n"))
 
 
+@query("WITH u AS (SELECT 'doc:' || doc_id AS id, 'chunk' AS kind, text FROM documents UNION ALL SELECT 'item:' || item_id, 'quote', text FROM benchmark UNION ALL SELECT 'conv:' || conv_id || ':' || turn, 'turn', text FROM conversations) SELECT id, kind, length(text) AS n, sha256(text) AS text_sha256 FROM u")
+def evidence_universe_all(tb):
+    """Units of the whole text, by length and hash."""
+    parts = [tb.documents.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.lit("chunk").alias("kind"), "text"), tb.benchmark.select(F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("id"), F.lit("quote").alias("kind"), "text"), tb.conversations.select(F.concat_ws(":", F.lit("conv"), "conv_id", "turn").alias("id"), F.lit("turn").alias("kind"), "text")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "kind", F.length("text").cast("long").alias("n"), T.sha256(F.col("text")).alias("text_sha256"))
+
+
 @query("WITH m AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY text) AS n FROM documents) SELECT doc_id, k AS copy, n AS copies FROM m WHERE n > 1")
 def duplicate_texts(tb):
     """Chunk texts that stand under several ids, found by hash."""

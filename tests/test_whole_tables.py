@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.01"
 NAMES = [
     "run_equivalence_all", "sealed_manifest_all", "evidence_path_check_all", "overlay_loader_checks_all",
     "line_blocks_all", "fused_with_tail_all", "fixed_chunks_all",
+    "scalar_text_all", "evidence_universe_all",
 ]
 
 
