@@ -63,6 +63,12 @@ def test_paths_and_bfs(spark):
     assert {(r.node, r.depth) for r in near.collect()} == {("a", 0), ("b", 1), ("c", 1)}
 
 
+def test_paths_of_any_length(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(14)], "a string, b string")
+    got = {(r.a, r.b): r.length for r in graph.simple_paths(spark, e).collect()}
+    assert got == {(f"n{i}", f"n{j}"): j - i for i in range(15) for j in range(i + 1, 15)}
+
+
 def test_constraints_name_their_violation_only(spark):
     t = spark.createDataFrame([("x", "st", "1"), ("x", "st", "2"), ("y", "st", "1"), ("y", "pri", "LOW"), ("z", "pri", "ODD")], "s string, p string, o string")
     nodes = spark.createDataFrame([("x",), ("y",)], "s string")
