@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -19,14 +20,16 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests, local mode)
-    a temporary folder that is set as the checkpoint folder when the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all runs in one
+    process (local mode, as in tests) is a temporary folder set instead when the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
         return base.rstrip("/")
     if (own := spark.sparkContext.getCheckpointDir()) is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -36,18 +39,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage is cut, and a
     lost executor costs no recomputation of what is written."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_id(*cols: str):
-    """A key that equal rows share and that needs no order: the id with a hash of the text."""
-    return F.xxhash64(*cols)
+def one_of_each(docs: DataFrame, found: DataFrame, of_null, text: str, doc_id: str) -> DataFrame:
+    """docs with one row of each component of found(doc_id, fp, component, component_id): that whose id
+    names it, once; of a component of null ids alone, one row with its smallest fp. of_null gives (_key,
+    _fp) of rows(_key, _text). docs' columns are renamed meanwhile, so that none can clash."""
+    names = docs.columns
+    safe = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at, t = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
+    kept = safe.join(stay, F.col(at).cast("long") == F.col("_stay"), "left_semi").dropDuplicates([at])
+    lone = found.where("component_id IS NULL").groupBy("component").agg(F.min("fp").alias("_lone")).select("_lone")
+    if lone.take(1):
+        # rows with the same text are alike here; of those that differ elsewhere, one stays
+        nulls = safe.where(F.col(at).isNull()).withColumn("_key", F.xxhash64(F.col(t)))
+        one = of_null(nulls.select("_key", F.col(t).alias("_text"))).join(lone, F.col("_fp") == F.col("_lone"), "left_semi").groupBy("_fp").agg(F.min("_key").alias("_k"))
+        kept = kept.unionByName(nulls.join(one.select("_k"), F.col("_key") == F.col("_k"), "left_semi").dropDuplicates(["_key"]).select(*safe.columns))
+    return kept.toDF(*names)
 
 
 def pack(**arrays: np.ndarray) -> bytes:

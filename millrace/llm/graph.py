@@ -10,7 +10,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(src long, dst long): component is the smallest node
     that it reaches. Alternating large-star and small-star steps as joins with minima: a node's
     neighbours are never gathered in one row, and the minima combine before the shuffle. Each round
-    is checkpointed; the driver sees two numbers a round. Self-loops and repeated edges do no harm."""
+    is checkpointed; the driver sees two numbers a round. Self-loops and repeated edges do no harm. Rounds
+    grow with the logarithm of a path's length; beyond `max_rounds` it raises, never returns a part."""
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u != v").distinct().checkpoint()
     seen = None
     for _ in range(max_rounds):
@@ -24,4 +25,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, save, text_batches
+from .common import LOWER, one_of_each, save, text_batches
 from .graph import components
 
 _BITS = 64
@@ -138,31 +138,31 @@ def links(reps: DataFrame, radius: int = 2, bucket_limit: int = 4096) -> DataFra
     return rows.mapInArrow(run, "src long, dst long")
 
 
+def _found(docs: DataFrame, text: str, doc_id: str, radius: int, width: int) -> DataFrame:
+    """doc_id, fp, component (the smallest fingerprint of the component) and component_id of every row.
+    Fingerprints are the nodes, so that no id, whatever its value, stands for anything but itself."""
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    fps = save(fingerprints(named, keep=("doc_id",), width=width), "simhash-fps")
+    nodes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    comp = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius))
+    inside = nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    lowest = inside.groupBy("component").agg(F.min("low").alias("component_id"))
+    return fps.join(inside.join(lowest, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 2, width: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hexadecimal digits) and component_id, the
     smallest doc_id that links of at most `radius` bits reach. Rows with a null id count as their
-    group's members, but never name it; a group of such rows alone has a null component."""
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    fps = save(fingerprints(named, keep=("doc_id",), width=width), "simhash-fps")
-    every = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    # ids of fingerprints among themselves: of null ids alone, the fingerprint stands in
-    reps = save(every.select("fp", F.coalesce("low", F.lit(1 << 62) + F.shiftrightunsigned("fp", 3)).alias("rep"), "low"), "simhash-reps")
-    comp = components(links(reps.select("fp", "rep"), radius))
-    named_by = reps.join(comp, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    named_by = named_by.select("fp", F.when(F.col("component") < F.lit(1 << 62), F.col("component")).alias("component_id"))
-    return fps.join(named_by, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    group's members, but never name it; a group of such rows alone has a null component. Ids are
+    longs, of any value, or texts of one. Repeated rows stay repeated; very long texts are hashed
+    whole; an empty table gives no rows; other columns of docs, whatever their names, are not read."""
+    found = _found(docs, text, doc_id, radius, width)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 2, width: int = 3) -> DataFrame:
     """docs with one row of each component: that with the smallest doc_id; of rows that repeat it, one.
-    Of a component of null ids alone, one row stays."""
-    found = near_duplicates(docs, text, doc_id, **options)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs[doc_id] == F.col("_stay"), "left_semi").dropDuplicates([doc_id])
-    lone = found.where("component_id IS NULL").select("fingerprint").distinct()
-    if not lone.take(1):
-        return kept
-    at = docs.schema.names
-    nulls = docs.where(F.col(doc_id).isNull()).toDF(*[f"c{i}" for i in range(len(at))])
-    fp = fingerprints(nulls, text=f"c{at.index(text)}", keep=tuple(nulls.columns)).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-    return kept.unionByName(fp.join(lone, "fingerprint", "left_semi").dropDuplicates(["fp"]).select(*nulls.columns).toDF(*at))
+    Of a component of null ids alone, one row stays. Columns keep their names, whatever they are."""
+    found = save(_found(docs, text, doc_id, radius, width), "simhash-found")
+    of_null = lambda rows: fingerprints(rows, text="_text", keep=("_key",), width=width).withColumnRenamed("fp", "_fp")
+    return one_of_each(docs, found, of_null, text, doc_id)

@@ -92,3 +92,20 @@ def test_one_of_each_group_stays(odd):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 5, None, 7], key=str)
     assert kept.where(F.col("doc_id") == 1).count() == 1
+
+
+def test_ids_at_both_ends(spark):
+    big = 1 << 62
+    ids = [big + 5, big - 1, (1 << 63) - 1, -(1 << 63), -1, 0, None, None]
+    texts = ["one two three four"] * 2 + ["five six seven eight"] * 2 + ["nine ten eleven", "twelve", "lone row without id", "lone row without id"]
+    rows = list(zip(ids, texts, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str) == plain(rows)
+    assert sorted((r.doc_id for r in simhash.deduplicate(df).collect()), key=str) == sorted([big - 1, -(1 << 63), -1, 0, None], key=str)
+
+
+def test_clashing_columns(odd):
+    own = odd.withColumns({c: F.lit(c) for c in ("_stay", "component", "component_id", "_lone", "_key", "c0", "c1", "fp", "_fp")})
+    kept = simhash.deduplicate(own)
+    assert kept.columns == own.columns
+    assert kept.where("_stay = '_stay' AND component = 'component' AND c0 = 'c0'").count() == kept.count() == 5
