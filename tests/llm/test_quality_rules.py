@@ -68,3 +68,22 @@ def test_oracle(spark):
     con = duckdb.connect()
     con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
     assert got == sorted(map(str, con.sql(queries.oracle_sql()["op2_quality_rules"]).fetchall()))
+
+
+def test_cascade_keeps_what_the_statistics_say(sample, odd, clashing, none):
+    names = [n for n, _ in [*quality_rules.BASE, *quality_rules.RULES]]
+    for df in (sample, odd):
+        want = sorted(str(r.doc_id) for r in quality_rules.apply_rules(df, order=[n for n, _ in quality_rules.RULES]).where("kept").collect())
+        for order in (names, names[::-1], None):
+            assert sorted(str(r.doc_id) for r in quality_rules.keep(df, order=order).collect()) == want
+    own = clashing.withColumns({c: F.lit(c) for c in ("_w", "_l", "hit", "c0", "_keep")})
+    assert quality_rules.keep(own).columns == own.columns
+    assert set(own.columns) <= set(quality_rules.with_stats(own).columns)
+    assert quality_rules.keep(none).count() == 0
+
+
+def test_cascade_computes_each_statistic_once_and_lazily(sample):
+    plan = quality_rules.keep(sample, order=["symbols", "repeated_words"])._jdf.queryExecution().executedPlan().toString()
+    generate = next(x for x in plan.split("\n") if "Generate" in x)
+    assert generate.count("xxhash64") == generate.count("sort_array(transform") == 1 and "CASE WHEN" in generate
+    assert "Python" not in plan and "Exchange" not in plan and "xxhash64" not in "".join(x for x in plan.split("\n") if "Filter" in x)
