@@ -48,6 +48,39 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, which clear() removes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths, self._tables = spark, [], []
+
+    def path(self, name: str) -> str:
+        self._paths.append(scratch_path(self.spark, name))
+        return self._paths[-1]
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+        """df as a table of n buckets of key, which later groupings by key read without a shuffle. Rows
+        are written where they are: each task adds a file to the buckets of its own rows."""
+        table, path = f"scratch_{uuid.uuid4().hex}", self.path(name)
+        df.write.option("path", path).bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(table)
+        self._tables.append(table)
+        return self.spark.table(table)
+
+    def clear(self) -> None:
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self._paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        self._tables, self._paths = [], []
+
+
 def one_of_each(docs: DataFrame, found: DataFrame, of_null, text: str, doc_id: str) -> DataFrame:
     """docs with one row of each component of found(doc_id, fp, component, component_id): that whose id
     names it, once; of a component of null ids alone, one row with its smallest fp. of_null gives (_key,

@@ -1,22 +1,29 @@
 """Exact substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-A window is `width` consecutive words of one document. The reference is the collection itself, cut
-into blocks by the hash of the windows: a block's index gives, for each window that hashes to it,
-its first occurrence (smallest doc_id, then smallest start). Every window of every document is looked
-up in the one block that can hold it, which finds what searching every block would, without pairing
-documents with blocks. A document is then factored greedily from left to right: a factor is the
-longest run of windows whose first occurrences are earlier and advance with it in one source
-document; the next factor begins at the next window, so windows that lie across a factor's boundary
-are looked up like all others. Words that a factor covers are removed.
+A window is `width` consecutive words of one document. The collection is its own reference, cut into
+contiguous blocks of documents. A block is indexed by its anchors: of the short grams inside each
+window the one with the smallest hash, so that equal windows have equal anchors wherever they stand.
+Consecutive windows with one anchor are a group, some seven words further on the next. A directory of
+anchors says which groups stand earlier elsewhere, and which anchors recur with other words around
+them; nothing else is compared, so a document meets only blocks that share an anchor with it.
+
+A document is then factored greedily from left to right. A factor is the longest run of windows that
+advances with one source; where the groups around an anchor differ, as they do at the boundaries of a
+passage, the windows that lie across them are looked up by themselves, so no window is missed there.
+Factors have at least `width` words. Their words are sent to the block of their source and compared
+there word by word; a difference (two hashes of 128 bits alike) raises an error. Words that a factor
+covers are removed.
 
 Windows are judged on the input. Rows that share a doc_id stand at the same place of the order, so
 that neither is earlier than the other. A null doc_id comes before all others. Texts of fewer words
-than a window, null and empty texts lose nothing. Windows are compared by 64-bit hashes of 64-bit
-word hashes.
-
-Within a chunk of documents only the first occurrence of a window is sent to its block, the others
-are settled by it on the spot; so a passage that millions of documents share costs its block one row
-a chunk.
+than a window, null and empty texts lose nothing; very long ones are a block of their own. An empty
+table gives no rows; other columns of docs, whatever their names, are not read. Ids are longs, or
+texts of one.
+
+Scale. A block tells the directory each group and each window once, however often it repeats it, and
+an anchor with several groups in one block once: a passage that millions of documents share costs one
+row a block. Rows are as many as words at most, whatever the number of blocks; blocks stand in a
+bucketed table, so that answers come to them and they are not shuffled.
 """
 
 from __future__ import annotations
@@ -26,192 +33,341 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import hash_words, local_words, mix64, pack, text_batches, unpack
+from .common import Scratch, hash_words, local_words, mix64, save, text_batches
 
 _NULL = -(1 << 63)
+#: Places within a block; an address is a block's number times this, plus a place in its words.
+_PLACES = 1 << 28
+_EVEN = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+class _Sums:
+    """Hashes of any run of words, from sums of words times powers of an odd number (mod 2^64)."""
+
+    def __init__(self, words: np.ndarray, base: int):
+        powers = np.full(len(words) + 1, np.uint64(base))
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers[:-1], dtype=np.uint64)))
+        self.back = np.full(len(words) + 1, np.uint64(pow(base, -1, 1 << 64)))
+        self.back[0] = 1
+        self.back = np.multiply.accumulate(self.back)
+
+    def of(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[end] - self.sums[at]) * self.back[at])
+
+
+def _first_of(places: tuple[np.ndarray, ...], *keys: np.ndarray) -> np.ndarray:
+    """For each row the row with its keys and the smallest place."""
+    order = np.lexsort((*places[::-1], *keys))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return out
+
+
+class _Block:
+    """A block's words, its windows in groups by anchor, and what it settles by itself."""
+
+    def __init__(self, row, width: int):
+        self.no, self.width = int(row["block"]), width
+        self.ids, self.missing = np.asarray(row["ids"], np.int64), np.asarray(row["missing"], bool)
+        ends = np.cumsum(np.asarray(row["sizes"], np.int64))
+        raw = zstandard.ZstdDecompressor().decompress(bytes(row["blob"])) if ends[-1] else b""
+        self.texts = [raw[e - n : e] for e, n in zip(ends.tolist(), row["sizes"], strict=True)]
+        distinct, ids, self.lens = local_words(self.texts)
+        self.starts = np.cumsum(self.lens) - self.lens
+        w = hash_words(distinct)[ids] if len(ids) else np.empty(0, np.uint64)
+        doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        self.hashes = _Sums(w, _EVEN[0]), _Sums(mix64(w), _EVEN[1])
+        n = len(w) - width + 1
+        at = np.flatnonzero(doc[:n] == doc[width - 1 :]) if n > 0 else np.empty(0, np.int64)
+        # the leftmost smallest gram of each window
+        size = max(1, 2 * width // 5)
+        grams = self.hashes[0].of(np.arange(len(w) - size + 1), np.arange(size, len(w) + 1)) if len(w) >= size else np.empty(0, np.uint64)
+        least, anchor = grams[at], at.copy()
+        for j in range(1, width - size + 1):
+            more = grams[at + j]
+            new = more < least
+            least[new] = more[new]
+            anchor[new] = at[new] + j
+        cut = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[at[1:]] != doc[at[:-1]])))) if len(at) else np.empty(0, np.int64)
+        self.at = at[cut]  # place of each group's first window
+        self.n = np.diff(np.append(cut, len(at)))  # and its windows
+        self.doc = doc[self.at] if len(at) else cut
+        self.anchor = least[cut]
+        end = self.at + self.n + width - 1
+        shape = ((anchor[cut] - self.at) * (width + 1) + self.n).astype(np.uint64)
+        self.group = mix64(self.hashes[1].of(self.at, end) + shape * np.uint64(_EVEN[0])) ^ self.hashes[0].of(self.at, end)
+        self.first = _first_of(self.places(self.at, self.doc), self.group, self.anchor)
+        lead = self.first == np.arange(len(self.at))
+        # anchors that stand in several groups of this block
+        names, inverse = np.unique(self.anchor, return_inverse=True)
+        self.many = np.bincount(inverse[lead], minlength=len(names))[inverse] > 1
+        self.lead = lead
+
+    def places(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What orders occurrences: the document's id and the place in the document."""
+        return self.ids[doc], at - self.starts[doc]
+
+    def address(self, at: np.ndarray) -> np.ndarray:
+        return self.no * _PLACES + at
+
+    def of(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and documents of all windows of some groups."""
+        n = self.n[groups]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(self.at[groups], n) + step, np.repeat(self.doc[groups], n)
+
+    def windows(self, said_open: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the groups whose windows are looked up one by one (those at the places said_open, and
+        those with `many`): place, document, hashes, and the row of each window's first occurrence."""
+        open_ = np.flatnonzero(self.lead & (self.many | np.isin(self.at, said_open)))
+        at, doc = self.of(open_)
+        h = [s.of(at, at + self.width) for s in self.hashes]
+        return at, doc, h[0], h[1], _first_of(self.places(at, doc), *h)
+
+    def sources(self, said: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every place: the address of an earlier occurrence of the window there, or -1; its document
+        and its start there. said: at, kind (0 of a group, 1 of a window, 2 of an open group), source."""
+        size = int(self.lens.sum())
+        out = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        where, kind = said["at"].to_numpy(np.int64), said["kind"].to_numpy(np.int64)
+        far = [said[c].to_numpy(np.int64) for c in ("source", "source_doc", "source_start")]
+
+        def put(at, doc, first, of_kind, n):
+            """Rows of n windows take the source that is told of their first occurrence; those that stand
+            later than it, and were told nothing, that occurrence itself."""
+            rows = np.flatnonzero(kind == of_kind)
+            rows = rows[np.argsort(where[rows])]
+            i = np.searchsorted(where[rows], at[first])
+            told = np.zeros(len(at), bool)
+            if len(rows):
+                i = np.minimum(i, len(rows) - 1)
+                told = where[rows][i] == at[first]
+            own, lead = self.places(at, doc), self.places(at[first], doc[first])
+            source = [self.address(at[first]), *lead]
+            if len(rows):
+                source = [np.where(told, f[rows][i], x) for f, x in zip(far, source, strict=True)]
+            use = np.flatnonzero(told | (own[0] != lead[0]) | (own[1] != lead[1]))
+            step = np.arange(n[use].sum()) - np.repeat(np.cumsum(n[use]) - n[use], n[use])
+            spot = np.repeat(at[use], n[use]) + step
+            out[0][spot] = np.repeat(source[0][use], n[use]) + step
+            out[1][spot] = np.repeat(source[1][use], n[use])
+            out[2][spot] = np.repeat(source[2][use], n[use]) + step
+
+        if len(self.at):
+            put(self.at, self.doc, self.first, 0, self.n)
+            at, doc, _, _, first = self.windows(where[kind == 2])
+            put(at, doc, first, 1, np.ones(len(at), np.int64))
+            # groups that stand at the very place of an open one, in a repeated row, share its windows
+            is_open = self.lead & (self.many | np.isin(self.at, where[kind == 2]))
+            tied = np.flatnonzero(~self.lead & is_open[self.first] & (out[0][self.at] != self.address(self.at[self.first])))
+            spot, model = self.of(tied)[0], self.of(self.first[tied])[0]
+            for x in out:
+                x[spot] = x[model]
+        return out
+
+    def factors(self, said: pd.DataFrame) -> list[tuple[int, int, int, int, int, int]]:
+        """Greedy factors from left to right: document, start, words, and the source's address, document
+        and start."""
+        src, src_doc, src_start = self.sources(said)
+        at = np.flatnonzero(src >= 0)
+        if not len(at):
+            return []
+        doc = np.searchsorted(np.cumsum(self.lens), at, "right")
+        cut = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (src[at[1:]] != src[at[:-1]] + 1)))
+        edges = np.append(np.flatnonzero(cut), len(at))
+        a, n = at[edges[:-1]], np.diff(edges) + self.width - 1
+        d = doc[edges[:-1]]
+        return list(zip(d.tolist(), (a - self.starts[d]).tolist(), n.tolist(), src[a].tolist(), src_doc[a].tolist(), src_start[a].tolist(), strict=True))
+
+    def words_at(self, at: int, n: int) -> list[bytes] | None:
+        """n words from a place in the block, if they lie in one document."""
+        d = int(np.searchsorted(np.cumsum(self.lens), at, "right"))
+        if d >= len(self.lens):
+            return None
+        k = at - int(self.starts[d])
+        return self._split(d)[k : k + n] if k + n <= self.lens[d] else None
+
+    def _split(self, d: int) -> list[bytes]:
+        if getattr(self, "_held", (None,))[0] != d:
+            self._held = (d, self.texts[d].split())
+        return self._held[1]
+
+
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """docs(d, t) as blocks of at most block_bytes of text, one document at least."""
+    schema = "block long, ids array<long>, missing array<boolean>, sizes array<long>, blob binary"
 
+    def run(batches):
+        base = TaskContext.get().partitionId() << 14
+        for k, rows in enumerate(text_batches(batches, block_bytes)):
+            if k >= 1 << 14:
+                raise ValueError("a partition has more than 16384 blocks")
+            texts = [r[1] or b"" for r in rows]
+            blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            longs, flags = pa.list_(pa.int64()), pa.list_(pa.bool_())
+            columns = [pa.array([base + k], pa.int64()), pa.array([[_NULL if r[0] is None else r[0] for r in rows]], longs), pa.array([[r[0] is None for r in rows]], flags), pa.array([[len(t) for t in texts]], longs), pa.array([blob], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "missing", "sizes", "blob"])
 
-def _windows(hashes: np.ndarray, lens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document (place in lens) and start of all windows."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for j in range(width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
-    doc = np.repeat(np.arange(len(lens)), lens)
-    same = doc[:n] == doc[width - 1 :]
-    starts = np.arange(n) - (np.cumsum(lens) - lens)[doc[:n]]
-    return mix64(h[same]), doc[:n][same], starts[same]
-
-
-def _firsts(h: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the place of its window's first occurrence; and which rows are those."""
-    order = np.lexsort((start, doc_id, h))
-    hs = h[order]
-    new = np.concatenate(([True], hs[1:] != hs[:-1])) if len(h) else np.empty(0, bool)
-    lead = np.empty(len(h), np.int64)
-    lead[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else 0
-    return lead, lead == np.arange(len(h))
-
-
-def _late(doc, starts, src, src_start, **more) -> bytes:
-    """Windows that occur earlier, by document (its place in the chunk) and start: documents with
-    their counts, starts, source documents and how far the source lies ahead, as differences."""
-    by = np.lexsort((starts, doc))
-    there, size = np.unique(doc, return_counts=True)
-    starts, src = starts[by], src[by]
-    return pack(i=there.astype(np.int32), n=size.astype(np.int32), s=np.diff(starts, prepend=0).astype(np.int32), src=np.diff(src, prepend=0), a=np.diff(src_start[by] - starts, prepend=0), **more)
-
-
-def _requests(rows: DataFrame, width: int, chunk_bytes: int, buckets: int) -> DataFrame:
-    """bucket, chunk, blob: windows to look up; in buckets below 0, a row for each chunk with its
-    documents and the windows that are settled in the chunk."""
-    schema = "bucket long, chunk long, blob binary"
+    return docs.mapInArrow(run, schema)
 
-    def run(batches):
-        pid = TaskContext.get().partitionId()
-        for k, part in enumerate(text_batches(batches, chunk_bytes)):
-            words, ids, lens = local_words([r[2] or b"" for r in part])
-            h, doc, start = _windows(hash_words(words)[ids] if len(ids) else np.empty(0, np.uint64), lens, width)
-            if not len(h):
-                continue
-            doc_ids = np.array([_NULL if r[0] is None else r[0] for r in part], np.int64)
-            row_ids = np.array([r[1] for r in part], np.int64)
-            own = doc_ids[doc]
-            lead, first = _firsts(h, own, start)
-            out = []
-            # equal places of rows that share a doc_id are no earlier
-            late = ~first & ~((own == own[lead]) & (start == start[lead]))
-            out.append((-1 - (31 * pid + k) % buckets, _late(doc[late], start[late], own[lead[late]], start[lead[late]], d=doc_ids, r=row_ids)))
-            sent = ~late  # the first, and those that stand at its place in a repeated row
-            bucket = (h[sent] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            hb, db, sb = h[sent][order], doc[sent][order], start[sent][order]
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                if edges[b] < edges[b + 1]:
-                    s = slice(edges[b], edges[b + 1])
-                    there, size = np.unique(db[s], return_counts=True)
-                    out.append((b, pack(h=hb[s], s=np.diff(sb[s], prepend=0).astype(np.int32), n=size.astype(np.int32), i=np.diff(there, prepend=0).astype(np.int32), d=np.diff(doc_ids[there], prepend=0))))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([(pid << 32) + k] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "chunk", "blob"])
-
-    return rows.mapInArrow(run, schema)
-
-
-def _look_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block: for each chunk that asks, its windows that occur earlier, one row a chunk. Settled
-    ones pass through."""
-    if key[0] < 0:
-        return pdf[["chunk", "blob"]]
-    asks = [unpack(x) for x in pdf["blob"]]
-    h = np.concatenate([a["h"] for a in asks])
-    # only windows that occur more than once are worth the full sort
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    many = np.zeros(len(h), bool)
-    many[order[1:][same]] = True
-    many[order[:-1][same]] = True
-    at = np.flatnonzero(many)
-    n = np.concatenate([a["n"] for a in asks])
-    of = np.repeat(np.arange(len(n)), n)[at]
-    doc_id = np.concatenate([np.cumsum(a["d"]) for a in asks])
-    place = np.concatenate([np.cumsum(a["i"], dtype=np.int64) for a in asks])
-    start = np.concatenate([np.cumsum(a["s"], dtype=np.int64) for a in asks])[at]
-    own = doc_id[of]
-    lead, first = _firsts(h[at], own, start)
-    late = ~first & ~((own == own[lead]) & (start == start[lead]))
-    edge = np.cumsum([0, *[len(a["n"]) for a in asks]])
-    out = []
-    for k, chunk in enumerate(pdf["chunk"]):
-        mine = late & (of >= edge[k]) & (of < edge[k + 1])
-        if mine.any():
-            out.append((chunk, _late(place[of[mine]], start[mine], own[lead[mine]], start[lead[mine]])))
-    return pd.DataFrame({"chunk": pd.Series([x[0] for x in out], dtype="int64"), "blob": pd.Series([x[1] for x in out], dtype=object)})
-
-
-def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What all blocks say of one chunk, by document."""
-    got = [unpack(x) for x in pdf["blob"]]
-    docs = next(g for g in got if "d" in g)
-    i = np.concatenate([np.repeat(g["i"], g["n"]) for g in got])
-    d, r = docs["d"][i], docs["r"][i]
-    s, src, ahead = (np.concatenate([np.cumsum(g[k], dtype=np.int64) for g in got]) for k in ("s", "src", "a"))
-    by = np.lexsort((s, r, d))
-    d, r, s, src, ahead = d[by], r[by], s[by], src[by], ahead[by]
-    edges = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]), [True]))) if len(d) else np.empty(0, np.int64)
-    out = [(d[a], r[a], pack(s=np.diff(s[a:b], prepend=0).astype(np.int32), d=np.diff(src[a:b], prepend=0), a=np.diff(ahead[a:b], prepend=0))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pd.DataFrame(out, columns=["doc", "row", "blob"])
-
-
-def parse(blobs: list[bytes], width: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, words, source document, source start) from a document's found windows."""
-    if not blobs:
-        return []
-    got = [unpack(b) for b in blobs]
-    s, d, a = (np.concatenate([np.cumsum(g[k], dtype=np.int64) for g in got]) for k in "sda")
-    by = np.argsort(s, kind="stable")
-    s, d, a = s[by], d[by], a[by]
-    once = np.concatenate(([True], s[1:] != s[:-1]))  # rows that repeat an id and a text say the same
-    s, d, a = s[once], d[once], a[once]
-    cut = np.concatenate(([True], (s[1:] != s[:-1] + 1) | (d[1:] != d[:-1]) | (a[1:] != a[:-1])))
-    edges = np.append(np.flatnonzero(cut), len(s))
-    return [(int(s[i]), int(s[j - 1] - s[i]) + width, int(d[i]), int(s[i] + a[i])) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def found_windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 20, chunk_bytes: int = 8 << 20, bucket_windows: int = 1_200_000) -> DataFrame:
-    """(doc, row, blobs): for each document with windows that occur earlier, what parse() reads. row
-    is a hash of the text, which tells rows apart that share a doc_id."""
-    raw = F.col(text).cast("binary")
-    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("r"), raw.alias("t"))
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, -(-size // (6 * bucket_windows)))  # a word and its space take about six bytes
-    asked = _requests(rows, width, chunk_bytes, buckets)
-    answers = asked.groupBy("bucket").applyInPandas(_look_up, "chunk long, blob binary")
-    return answers.groupBy("chunk").applyInPandas(_gather, "doc long, row long, blob binary").groupBy("doc", "row").agg(F.collect_list("blob").alias("blobs"))
 
+_DIRECTORY = "a long, c long, doc long, start int, address long"
 
-def _joined(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("doc"), F.xxhash64(F.col(text)).alias("row"), F.col(text).cast("binary").alias("t"))
-    return rows.join(found, ["doc", "row"], "left").select("doc_id", "blobs", "t")
 
+def _table(schema: str, *columns) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.int32() if c.split()[1] == "int" else pa.int64() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-def factors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 20, **options) -> DataFrame:
-    """doc_id, start, words, source_doc, source_start: the duplicate spans, in words, of each document."""
-    joined = _joined(docs, found_windows(docs, text, doc_id, width, **options), text, doc_id).where("blobs IS NOT NULL").select("doc_id", "blobs")
+
+def _directory(blocks: DataFrame, width: int) -> DataFrame:
+    """Each block's anchors: one row a group, or, where an anchor has several groups in the block, one
+    row (address -1) for all of them, as these are looked up by window whatever others say."""
 
     def run(batches):
         for batch in batches:
-            out = [(d.as_py(), *f) for d, b in zip(batch.column(0), batch.column(1), strict=True) for f in parse(b.as_py(), width)]
-            cols = [[r[k] for r in out] for k in range(5)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "words", "source_doc", "source_start"])
-
-    return joined.mapInArrow(run, "doc_id long, start long, words long, source_doc long, source_start long").withColumn("source_doc", F.when(F.col("source_doc") != _NULL, F.col("source_doc")))
+            for row in batch.to_pylist():
+                b = _Block(row, width)
+                one = np.flatnonzero(b.lead & ~b.many)
+                several = np.unique(b.anchor[b.lead & b.many])
+                ids, start = b.places(b.at[one], b.doc[one])
+                own = several ^ mix64(np.full(len(several), b.no + 1, np.uint64))
+                fill = np.zeros(len(several), np.int64)
+                yield _table(_DIRECTORY, np.concatenate((b.anchor[one], several)).view(np.int64), np.concatenate((b.group[one], own)).view(np.int64), np.concatenate((ids, fill)), np.concatenate((start, fill)).astype(np.int32), np.concatenate((b.address(b.at[one]), fill - 1)))
+
+    return blocks.mapInArrow(run, _DIRECTORY)
+
+
+def _answers(directory: DataFrame) -> DataFrame:
+    """block, at, kind (0: stands earlier, at source; 2: its anchor has other groups) and the source."""
+    alike, anchor = W.partitionBy("a", "c"), W.partitionBy("a")
+    place = F.struct("doc", "start")
+    told = directory.withColumn("first", F.min(F.struct("doc", "start", "address")).over(alike)).withColumns({"lo": F.min("c").over(anchor), "hi": F.max("c").over(anchor)})
+    late = F.struct("first.doc", "first.start") < place
+    told = told.where("address >= 0").withColumn("kind", F.when(late, F.lit(0)).when(F.col("lo") != F.col("hi"), F.lit(2))).where("kind IS NOT NULL")
+    return _said(told, F.col("kind"))
+
+
+def _said(told: DataFrame, kind) -> DataFrame:
+    own, first = F.col("address"), F.col("first")
+    return told.select(F.shiftright(own, 28).alias("block"), own.bitwiseAND(F.lit(_PLACES - 1)).alias("at"), kind.alias("kind"), first["address"].alias("source"), first["doc"].alias("source_doc"), first["start"].cast("long").alias("source_start"))
+
+
+_WINDOWS = "h long, g long, doc long, start int, address long"
+
+
+def _window_answers(blocks: DataFrame, said: DataFrame, width: int) -> DataFrame:
+    """Kind 1: windows of open groups that stand earlier elsewhere."""
+
+    def run(key, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in _WINDOWS.split(", ")]
+        if not len(block):
+            raise ValueError("answers to no block")
+        b = _Block(block.iloc[0], width)
+        at, doc, h, g, first = b.windows(told["at"].to_numpy(np.int64))
+        own = np.flatnonzero(first == np.arange(len(first)))
+        ids, start = b.places(at[own], doc[own])
+        return pd.DataFrame(dict(zip(names, (h[own].view(np.int64), g[own].view(np.int64), ids, start.astype(np.int32), b.address(at[own])), strict=True)))
+
+    asked = blocks.groupBy("block").cogroup(said.where("kind = 2").groupBy("block")).applyInPandas(lambda key, a, b: run(key, a, b), _WINDOWS)
+    told = asked.withColumn("first", F.min(F.struct("doc", "start", "address")).over(W.partitionBy("h", "g"))).where(F.struct("first.doc", "first.start") < F.struct("doc", "start"))
+    return _said(told, F.lit(1))
+
+
+_FOUND = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start:long,words:long,source_doc:long,source_start:long>>, source_block long, source long, n long, digest binary, asked binary"
+
+
+def _factored(blocks: DataFrame, said: DataFrame, width: int, with_text: bool) -> DataFrame:
+    """A row for each document, and one for each factor with a source in another block: its words."""
+
+    def run(key, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        b = _Block(block.iloc[0], width)
+        by_doc: dict[int, list] = {}
+        for f in b.factors(told):
+            by_doc.setdefault(f[0], []).append(f[1:])
+        out, asks = [], {}
+        for d in range(len(b.lens)):
+            words, kept, at = b.texts[d].split(), [], 0
+            for start, n, source, _, _ in by_doc.get(d, ()):
+                own = words[start : start + n]
+                if source // _PLACES == b.no:
+                    if b.words_at(source % _PLACES, n) != own:
+                        raise ValueError("two windows of one hash differ in their words")
+                else:
+                    joined = b"\n".join(own)
+                    asks.setdefault((source, n, hashlib.sha256(joined).digest()), joined)
+                kept += words[at:start]
+                at = max(at, start + n)
+            kept += words[at:]
+            text = b" ".join(kept)
+            found = [{"start": s, "words": n, "source_doc": None if x == _NULL else x, "source_start": y} for s, n, _, x, y in by_doc.get(d, ())]
+            name = None if b.missing[d] else int(b.ids[d])
+            out.append((name, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None, found, None, None, None, None, None))
+        pack = zstandard.ZstdCompressor(level=3)
+        out += [(None, None, None, None, None, None, s // _PLACES, s, n, digest, pack.compress(joined)) for (s, n, digest), joined in asks.items()]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "factors", "source_block", "source", "n", "digest", "asked"]
+        frame = pd.DataFrame(out, columns=names)
+        for c in ("doc_id", "n_words", "n_removed", "source_block", "source", "n"):
+            frame[c] = pd.array([r[names.index(c)] for r in out], "Int64")
+        return frame
+
+    return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(lambda key, a, b: run(key, a, b), _FOUND)
+
+
+def _differ(blocks: DataFrame, found: DataFrame, width: int) -> int:
+    """How many of the factors differ from the words at their source, compared in the source's block.
+    Factors of equal words and source are compared once."""
+    asks = found.where("source IS NOT NULL").groupBy("source_block", "source", "n", "digest").agg(F.max("asked").alias("asked")).withColumnRenamed("source_block", "block")
+
+    def run(key, block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        bad = 0
+        if len(asked):
+            b = _Block(block.iloc[0], width)
+            unpack = zstandard.ZstdDecompressor()
+            for source, n, blob in sorted(zip(asked["source"], asked["n"], asked["asked"], strict=True), key=lambda r: r[0]):
+                bad += b.words_at(int(source) % _PLACES, int(n)) != unpack.decompress(bytes(blob)).split(b"\n")
+        return pd.DataFrame({"bad": [bad]})
+
+    return blocks.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(lambda key, a, b: run(key, a, b), "bad long").agg(F.sum("bad")).first()[0] or 0
+
+
+def _found(docs: DataFrame, text: str, doc_id: str, width: int, with_text: bool, chunk_bytes: int, bucket_windows: int) -> DataFrame:
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("binary").alias("t"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(1, -(-size // (6 * bucket_windows)))  # a word and its space take about six bytes
+    scratch = Scratch(spark)
+    try:
+        blocks = scratch.bucketed(_blocks(rows, chunk_bytes), "substring-blocks", "block", buckets)
+        said = scratch.save(_answers(_directory(blocks, width)), "substring-groups")
+        said = said.unionByName(scratch.save(_window_answers(blocks, said, width), "substring-windows"))
+        found = save(_factored(blocks, said, width, with_text), "substring-found")
+        if bad := _differ(blocks, found, width):
+            raise RuntimeError(f"{bad} factors differ from their sources: hashes of 128 bits are alike")
+    finally:
+        scratch.clear()
+    return found.where("n_words IS NOT NULL")
+
+
+def factors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 20, chunk_bytes: int = 4 << 20, bucket_windows: int = 1_200_000) -> DataFrame:
+    """doc_id, start, words, source_doc, source_start: the duplicate spans, in words, of each document."""
+    found = _found(docs, text, doc_id, width, False, chunk_bytes, bucket_windows)
+    return found.select("doc_id", F.explode("factors").alias("f")).select("doc_id", "f.*")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 20, with_text: bool = False, **options) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 20, with_text: bool = False, chunk_bytes: int = 4 << 20, bucket_windows: int = 1_200_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, on request, kept_text (kept words joined by a space)."""
-    joined = _joined(docs, found_windows(docs, text, doc_id, width, **options), text, doc_id)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for d, blobs, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = (t or b"").split()
-                kept, at = [], 0
-                for start, n, _, _ in parse(blobs or [], width):
-                    kept += words[at:start]
-                    at = max(at, start + n)
-                kept += words[at:]
-                joined_text = b" ".join(kept)
-                out.append((d, len(words), len(words) - len(kept), hashlib.sha256(joined_text).hexdigest(), *([joined_text.decode()] if with_text else [])))
-            cols = list(zip(*out, strict=True)) if out else [[]] * (4 + with_text)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=False)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(cols)])
-
-    return joined.mapInArrow(run, schema)
+    found = _found(docs, text, doc_id, width, with_text, chunk_bytes, bucket_windows)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
