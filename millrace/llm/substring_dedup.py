@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, hash_words, local_words, mix64, save, text_batches
+from .common import SPACES, Scratch, hash_words, local_words, mix64, save, text_batches
 
 _NULL = -(1 << 63)
 #: Places within a block; an address is a block's number times this, plus a place in its words.
@@ -75,17 +75,51 @@ def _first_of(places: tuple[np.ndarray, ...], *keys: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Block:
-    """A block's words, its windows in groups by anchor, and what it settles by itself."""
+_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
 
-    def __init__(self, row, width: int):
-        self.no, self.width = int(row["block"]), width
-        self.ids, self.missing = np.asarray(row["ids"], np.int64), np.asarray(row["missing"], bool)
-        ends = np.cumsum(np.asarray(row["sizes"], np.int64))
+
+class _Texts:
+    """A block's texts and the places of their words."""
+
+    def __init__(self, row):
+        self.no = int(row["block"])
+        sizes = np.asarray(row["sizes"], np.int64)
+        ends = np.cumsum(sizes)
         raw = zstandard.ZstdDecompressor().decompress(bytes(row["blob"])) if ends[-1] else b""
-        self.texts = [raw[e - n : e] for e, n in zip(ends.tolist(), row["sizes"], strict=True)]
-        distinct, ids, self.lens = local_words(self.texts)
+        self.texts = [raw[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        # a word begins where no space stands after a space or at a text's first byte
+        letter = ~_SPACE[np.frombuffer(raw, np.uint8)]
+        begins = letter.copy()
+        begins[1:] &= ~letter[:-1]
+        first = (ends - sizes)[sizes > 0]
+        begins[first] = letter[first]
+        before = np.concatenate((np.zeros(1, np.int64), np.cumsum(begins, dtype=np.int64)))
+        self.lens = before[ends] - before[ends - sizes]
         self.starts = np.cumsum(self.lens) - self.lens
+        self._held: tuple[int, list[bytes]] = (-1, [])
+
+    def words(self, d: int) -> list[bytes]:
+        if self._held[0] != d:
+            self._held = (d, self.texts[d].split())
+        return self._held[1]
+
+    def words_at(self, at: int, n: int) -> list[bytes] | None:
+        """n words from a place in the block, if they lie in one document."""
+        d = int(np.searchsorted(np.cumsum(self.lens), at, "right"))
+        if d >= len(self.lens):
+            return None
+        k = at - int(self.starts[d])
+        return self.words(d)[k : k + n] if k + n <= self.lens[d] else None
+
+
+class _Block(_Texts):
+    """A block with its windows in groups by anchor, and what it settles by itself."""
+
+    def __init__(self, row, width: int):
+        super().__init__(row)
+        self.width = width
+        self.ids, self.missing = np.asarray(row["ids"], np.int64), np.asarray(row["missing"], bool)
+        distinct, ids, _ = local_words(self.texts)
         w = hash_words(distinct)[ids] if len(ids) else np.empty(0, np.uint64)
         doc = np.repeat(np.arange(len(self.lens)), self.lens)
         self.hashes = _Sums(w, _EVEN[0]), _Sums(mix64(w), _EVEN[1])
@@ -94,12 +128,15 @@ class _Block:
         # the leftmost smallest gram of each window
         size = max(1, 2 * width // 5)
         grams = self.hashes[0].of(np.arange(len(w) - size + 1), np.arange(size, len(w) + 1)) if len(w) >= size else np.empty(0, np.uint64)
-        least, anchor = grams[at], at.copy()
-        for j in range(1, width - size + 1):
-            more = grams[at + j]
-            new = more < least
-            least[new] = more[new]
-            anchor[new] = at[new] + j
+        n = max(n, 0)
+        if (choices := width - size + 1) > 64:
+            raise ValueError("windows of more than 100 words")
+        # the gram's place in the window is kept in its last bits, so that the minimum names it
+        low = np.uint64(63)
+        least = grams[:n] & ~low
+        for j in range(1, choices):
+            np.minimum(least, (grams[j : j + n] & ~low) | np.uint64(j), out=least)
+        anchor, least = (at + (least & low).astype(np.int64)[at], least[at] & ~low) if len(at) else (at, least[:0])
         cut = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[at[1:]] != doc[at[:-1]])))) if len(at) else np.empty(0, np.int64)
         self.at = at[cut]  # place of each group's first window
         self.n = np.diff(np.append(cut, len(at)))  # and its windows
@@ -191,19 +228,6 @@ class _Block:
         d = doc[edges[:-1]]
         return list(zip(d.tolist(), (a - self.starts[d]).tolist(), n.tolist(), src[a].tolist(), src_doc[a].tolist(), src_start[a].tolist(), strict=True))
 
-    def words_at(self, at: int, n: int) -> list[bytes] | None:
-        """n words from a place in the block, if they lie in one document."""
-        d = int(np.searchsorted(np.cumsum(self.lens), at, "right"))
-        if d >= len(self.lens):
-            return None
-        k = at - int(self.starts[d])
-        return self._split(d)[k : k + n] if k + n <= self.lens[d] else None
-
-    def _split(self, d: int) -> list[bytes]:
-        if getattr(self, "_held", (None,))[0] != d:
-            self._held = (d, self.texts[d].split())
-        return self._held[1]
-
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """docs(d, t) as blocks of at most block_bytes of text, one document at least."""
@@ -326,7 +350,7 @@ def _factored(blocks: DataFrame, said: DataFrame, width: int, with_text: bool) -
     return blocks.groupBy("block").cogroup(said.groupBy("block")).applyInPandas(lambda key, a, b: run(key, a, b), _FOUND)
 
 
-def _differ(blocks: DataFrame, found: DataFrame, width: int) -> int:
+def _differ(blocks: DataFrame, found: DataFrame) -> int:
     """How many of the factors differ from the words at their source, compared in the source's block.
     Factors of equal words and source are compared once."""
     asks = found.where("source IS NOT NULL").groupBy("source_block", "source", "n", "digest").agg(F.max("asked").alias("asked")).withColumnRenamed("source_block", "block")
@@ -334,7 +358,7 @@ def _differ(blocks: DataFrame, found: DataFrame, width: int) -> int:
     def run(key, block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         bad = 0
         if len(asked):
-            b = _Block(block.iloc[0], width)
+            b = _Texts(block.iloc[0])
             unpack = zstandard.ZstdDecompressor()
             for source, n, blob in sorted(zip(asked["source"], asked["n"], asked["asked"], strict=True), key=lambda r: r[0]):
                 bad += b.words_at(int(source) % _PLACES, int(n)) != unpack.decompress(bytes(blob)).split(b"\n")
@@ -354,7 +378,7 @@ def _found(docs: DataFrame, text: str, doc_id: str, width: int, with_text: bool,
         said = scratch.save(_answers(_directory(blocks, width)), "substring-groups")
         said = said.unionByName(scratch.save(_window_answers(blocks, said, width), "substring-windows"))
         found = save(_factored(blocks, said, width, with_text), "substring-found")
-        if bad := _differ(blocks, found, width):
+        if bad := _differ(blocks, found):
             raise RuntimeError(f"{bad} factors differ from their sources: hashes of 128 bits are alike")
     finally:
         scratch.clear()
