@@ -58,9 +58,9 @@ class Scratch:
         self._paths.append(scratch_path(self.spark, name))
         return self._paths[-1]
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:

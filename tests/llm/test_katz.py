@@ -120,3 +120,42 @@ def test_good_turing_falls_back():
     assert (katz.good_turing(np.array([0, 0, 3, 0, 0, 0, 0]), 5).less == 0.5).all()
     d = katz.good_turing(np.array([0, 100, 40, 20, 12, 8, 5]), 5)
     assert (d.less > 0).all() and (d.of(np.array([1, 7])) == [1 - d.less[0], 7]).all()
+
+
+@pytest.mark.parametrize("order,options", [(2, {}), (3, {"bucket_rows": 1_200, "hot": 40}), (2, {"bucket_rows": 300, "hot": 20, "fan_in": 3})])
+def test_new_texts_by_the_stored_model(sample, order, options):
+    rows = sample.orderBy("doc_id").collect()
+    cut = len(rows) // 2
+    spark = sample.sparkSession
+    learn, other = (spark.createDataFrame(part, sample.schema) for part in (rows[:cut], rows[cut:]))
+    plain = Plain([tokens(r.text) for r in rows[:cut]], order)
+    model = katz.fit(learn, order=order, chunk_bytes=15_000, **options)
+    for _ in range(2):
+        got = {r.doc_id: r for r in model.score(other, chunk_bytes=9_000).collect()}
+        assert len(got) == len(rows) - cut
+        for r in rows[cut:]:
+            w = tokens(r.text)
+            assert math.isclose(got[r.doc_id].score, plain.score(w), rel_tol=1e-9)
+            assert (got[r.doc_id].n_known, got[r.doc_id].train_tokens) == (sum(plain.c[1][(x,)] > 0 for x in w), plain.n)
+    model.drop()
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_requests_through_a_tree(sample, order):
+    rows = [(r.doc_id, tokens(r.text)) for r in sample.collect()]
+    m = Plain([w for d, w in rows if not held(d)], order)
+    got = {r.doc_id: r for r in katz.score(sample, order=order, chunk_bytes=6_000, bucket_rows=400, hot=30, fan_in=3).collect()}
+    assert all(math.isclose(got[d].score, m.score(w), rel_tol=1e-9) for d, w in rows)
+
+
+def test_a_chunk_asks_few_however_many_buckets(sample):
+    """Blobs of a chunk stay bounded by fan_in while buckets grow with the input."""
+    rows = sample.select("text").collect()
+    docs = sample.sparkSession.createDataFrame([(i, False, (rows[i % len(rows)].text or "").encode()) for i in range(40)], "d long, h boolean, t binary").coalesce(1)
+    chunk = katz._chunks(docs, 1 << 20).first()
+    for n in (8, 64, 512, 4096):
+        p = katz._Params(40, 5, n, n, 1, 10**9, 8, [], 0, 0, 0.0, 0.0)
+        grain = 1
+        while -(-n // grain) > p.fan_in:
+            grain *= p.fan_in
+        assert len(list(katz._requests(katz._Chunk(chunk), p, grain))) <= 8
