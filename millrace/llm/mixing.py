@@ -6,12 +6,16 @@ mass moves between the two at random, size for size, so that the expected words
 while one of the two becomes 0 or 1; the other meets the next document. What is left of a part of a
 source, one document at most, meets the remains of other parts in a tree of groups, until one
 remains for each source and is drawn by its own probability. A source's words thus differ from its
-target by less than its largest document. A hot source is many parts; no task sees more than
-`part_rows` documents.
+target by less than its largest document. A hot source is many parts of about `part_rows` documents,
+rows that repeat an id and a size included: these are counted and numbered before they are dealt.
+
+Sources are a table like any other: they are ranked by a range sort, and targets are found from sums
+over them; the driver sees a few numbers a round.
 
 Draws are hashes of (seed, document), never of positions in partitions, so reruns agree. Null texts
 have size 0; documents of size 0 are taken 0 times in words whatever their copies. Repeated rows
-count each for itself. A null source is a source of its own, ranked last.
+count each for itself. A null source is a source of its own, ranked last. Very long texts have their
+whole size; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -49,13 +53,36 @@ def with_size(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("size", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
 
 
-def source_targets(sized: DataFrame, source: str = "source", weights: tuple[float, ...] = WEIGHTS) -> list[tuple[str | None, int, int, float]]:
-    """(source, rows, size, target) by source; one row a source comes to the driver. A UTF-8 byte
-    order is the order of code points."""
-    rows = [(r[0], r.n, int(r.s)) for r in sized.groupBy(source).agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()]
-    rows.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    goal = targets([r[2] for r in rows], [weights[k % len(weights)] for k in range(len(rows))])
-    return [(*r, t) for r, t in zip(rows, goal, strict=True)]
+def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
+    """(name, g, source_size, target): targets() over the sources of sized(source, size), g their rank by
+    code point (the order of UTF-8 bytes), null last."""
+    spark = sized.sparkSession
+    sources = sized.groupBy(F.col("source").alias("name")).agg(F.sum("size").cast("long").alias("source_size"))
+    # a range sort: rows of a partition are numbered, and partitions follow each other
+    ordered = save(sources.repartitionByRange(F.col("name").isNull(), "name").sortWithinPartitions(F.col("name").isNull(), "name").withColumn("m", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("m", 33)
+    before, offsets = 0, []
+    for r in ordered.groupBy(part.alias("p")).count().orderBy("p").collect():  # as many rows as partitions
+        offsets.append((r["p"], before))
+        before += r["count"]
+    table = spark.createDataFrame(offsets, "p long, before long")
+    ranked = ordered.withColumn("p", part).join(table, "p").withColumn("g", F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("g") % len(weights) + 1).cast("int"))
+    goals = save(ranked.select("name", "g", "source_size", weight.alias("weight")), "mix-weights")
+    full = F.col("source_size") > 0
+    total, free = goals.agg(F.sum("source_size"), F.sum(F.when(full, F.col("weight")))).first()
+    left, total = float(total or 0), float(total or 0)
+    # what each weight unit gets only rises as sources are capped, so those once above stay above
+    share = lambda: F.lit(left) * F.col("weight") / F.lit(free or 1.0)
+    above = lambda: full & (share() > most * F.col("source_size"))
+    while free:
+        held, rest = goals.agg(F.sum(F.when(above(), most * F.col("source_size"))), F.sum(F.when(full & ~above(), F.col("weight")))).first()
+        now = (total - (held or 0.0), rest)
+        if not rest or now == (left, free):
+            break
+        left, free = now
+    target = F.when(~full, F.lit(0.0)).when(above(), most * F.col("source_size")).otherwise(share())
+    return goals.select("name", "g", "source_size", target.alias("target"))
 
 
 def _pivot(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
@@ -85,16 +112,15 @@ def _pivot(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> tuple[np.ndarra
 
 
 def round_dependently(df: DataFrame, group: str = "g", key: str = "k", seed: int = 11, part_rows: int = 2_000, fan_in: int = 1024) -> DataFrame:
-    """df has columns `group` (long), `key` (long, equal rows may share it), size (long), p (double in
-    0..1). Returns df with `one`: 1 where the draw takes the row, else 0."""
+    """df has columns `group` (long), `key` (long; rows that share it stay in one part), size (long), p
+    (double in 0..1). Returns df with `one`: 1 where the draw takes the row, else 0."""
     names = df.columns
-    count = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
-    parts = F.lit(1)
-    if big := {g: -(-n // part_rows) for g, n in count.items() if n > part_rows}:
-        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in big.items() for x in kv]), F.col(group)), F.lit(1))
-    most = max([1, *big.values()])
-    work = df.withColumns({c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(c), F.col(group), F.col(key)), 11) / F.lit(float(1 << 53)) for c in ("_draw", "_toss")})
-    work = work.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), parts).cast("long")).withColumn("one", F.lit(0)).withColumn("_open", F.lit(False))
+    counts = save(df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / part_rows).alias("_parts")), "mix-parts")
+    most = counts.agg(F.max("_parts")).first()[0] or 1
+    work = df.join(counts, F.col(group) == F.col("_g")).drop("_g")
+    parts = F.col("_parts")
+    work = work.withColumns({c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(c), F.col(group), F.col(key)), 11) / F.lit(float(1 << 53)) for c in ("_draw", "_toss")})
+    work = work.withColumn("_part", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), parts).cast("long")).drop("_parts").withColumn("one", F.lit(0)).withColumn("_open", F.lit(False))
     schema = work.schema
     done = None
     while True:
@@ -125,14 +151,21 @@ def round_dependently(df: DataFrame, group: str = "g", key: str = "k", seed: int
         work = step.where("_open").withColumn("_part", F.floor(F.col("_part") / fan_in) if most > 1 else F.lit(0).cast("long"))
 
 
+def _numbered(sized: DataFrame, part_rows: int) -> DataFrame:
+    """sized with `copy`, a number among the rows that are alike. They are counted, and come back in
+    runs of at most part_rows from wherever the shuffle puts each run."""
+    alike = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    runs = alike.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / part_rows))))
+    runs = runs.withColumn("m", F.least(F.lit(part_rows), F.col("n") - F.col("run") * part_rows)).repartition("doc_id", "size", "run")
+    return runs.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).select("doc_id", "source", "size", (F.col("run") * part_rows + F.col("j")).alias("copy"))
+
+
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, seed: int = 11, part_rows: int = 2_000) -> DataFrame:
     """doc_id, size, source_size, target (double, of the source), copies and taken (size * copies)."""
     sized = save(with_size(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))).select("doc_id", "source", "size"), "mix-sizes")
-    goals = source_targets(sized, weights=weights)
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(g, r[0], r[2], float(r[3])) for g, r in enumerate(goals)], "g long, name string, source_size long, target double")
-    rows = sized.join(table, sized["source"].eqNullSafe(table["name"]))
+    goals = source_targets(sized, weights)
+    rows = _numbered(sized, part_rows).join(goals, F.col("source").eqNullSafe(F.col("name")))
     x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "size", "source_size", "target", "g", F.xxhash64("doc_id", "size").alias("k"), F.floor(x).cast("long").alias("whole"), (x - F.floor(x)).alias("p"))
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "size", "source_size", "target", "g", F.xxhash64("doc_id", "size", "copy").alias("k"), F.floor(x).cast("long").alias("whole"), (x - F.floor(x)).alias("p"))
     out = round_dependently(rows, seed=seed, part_rows=part_rows)
     return out.withColumn("copies", F.col("whole") + F.col("one")).withColumn("taken", F.col("size") * F.col("copies")).select(F.col("doc_id").cast(sized.schema["doc_id"].dataType).alias("doc_id"), "size", "source_size", "target", "copies", "taken")

@@ -62,3 +62,29 @@ def test_odd_rows(odd, none, clashing):
     assert all(r.size == r.taken == 0 for r in rows if r.doc_id in (2, 3, 4))
     assert sorted(map(str, mixing.mix(clashing).collect())) == sorted(map(str, rows))
     assert mixing.mix(none).count() == 0
+
+
+def test_rows_alike_are_dealt_to_many_parts(spark):
+    rows = [(None, "a b c", "s")] * 900 + [(7, "a b", "s")] * 300 + [(i, "x " * (i % 9), "t") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixing.with_size(docs).select("doc_id", "source", "size")
+    numbered = mixing._numbered(sized, 50)
+    assert numbered.count() == len(rows) == numbered.distinct().count()
+    out = mixing.mix(docs, part_rows=50)
+    assert out.count() == len(rows)
+    for size, target in out.groupBy("source_size").agg(F.sum("taken"), F.first("target")).select("sum(taken)", "first(target)").collect():
+        assert abs(size - target) <= 9
+    again = mixing.mix(docs.repartition(5), part_rows=50)
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, map(tuple, again.collect())))
+
+
+def test_many_sources_equal_the_plain_targets(spark):
+    rng = np.random.default_rng(4)
+    names = [None, "", "é", "z", "\U0001f600", "￿"] + [f"host{i}" for i in range(300)]
+    sizes = {n: int(rng.integers(0, 40)) if k % 3 else int(rng.integers(200, 9000)) for k, n in enumerate(names)}
+    df = spark.createDataFrame([(n, s) for n, s in sizes.items()], "source string, size long").repartition(5)
+    order = sorted(names, key=lambda n: (n is None, (n or "").encode()))
+    want = dict(zip(order, mixing.targets([sizes[n] for n in order], [(5, 2, 1)[k % 3] for k in range(len(order))]), strict=True))
+    got = {r.name: r for r in mixing.source_targets(df).collect()}
+    assert [got[n].g for n in order] == list(range(len(order)))
+    assert all(math.isclose(got[n].target, want[n], rel_tol=1e-9, abs_tol=1e-9) for n in order)
