@@ -1,17 +1,23 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Units are every line of a text and the text as a whole, so that a notice in a header, a notice
-anywhere else and a licence file are all seen; whole texts are read. A unit's vector holds its
-words' frequency times idf (idf over the templates; words that no template has get the largest),
-and its cosine to a template must reach `threshold`. The best unit of a text names its licence;
-ties go to the smaller licence name, then to the earlier line.
+Units are every line of a text, every block of lines without an empty line between them, the header
+(the comment lines that a text begins with) and the text as a whole, so that a notice in a header, over
+several lines, anywhere else and a licence file are all seen; whole texts are read. A unit's vector
+holds its words' frequency times idf (idf over the templates; words that no template has get the
+largest), and its cosine to a template must reach `threshold`. The best unit of a text names its
+licence; ties go to the smaller licence name, then to the earlier line. A licence that has all terms
+of another and one more (REFINES) wins over that one where a unit of the text has its own term.
 
 A file with a licence of its own keeps it. A file whose name marks it as a licence file (LICENSE,
 LICENCE, COPYING, NOTICE) gives its licence to its directory, ties to the smaller path. Every other
 file inherits from the nearest directory above it that has one. Only distinct directories are joined
 with their ancestors; files join their own directory.
 
-Null texts match nothing; a null path neither gives nor inherits. Repeated rows stay repeated.
+Detections are written once; directories, licence files and the result read them from there.
+
+Null and empty texts match nothing; a null path neither gives nor inherits. Repeated rows stay repeated,
+an empty table gives no rows. Other columns pass through inherit(), but for those that it adds, which
+replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import save
+
 #: Fixed wording of common licence notices: licence name and a notice's text.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
@@ -37,12 +45,25 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License, CC BY-SA 4.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ISC", "Released under the ISC License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
 )
+#: A licence and the one whose terms it has besides its own.
+REFINES = {"BSD-3-Clause": "BSD-2-Clause"}
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 _WORD = re.compile(r"[a-z0-9]+")
+_COMMENT = re.compile(r"\s*(#|//|/\*|\*|--|;|%|<!--)")
 
 
 class Index:
@@ -85,18 +106,25 @@ class Index:
 
 def detect_text(text: str | None, index: Index, threshold: float = 0.6) -> tuple[str, float, int] | None:
     """(licence, cosine, line), the line counted from 0, -1 for the text as a whole."""
-    found = []
-    everything: list[str] = []
-    for k, line in enumerate((text or "").lower().split("\n")):
-        tokens = _WORD.findall(line)
-        everything += tokens
-        if tokens and (b := index.best(tokens, threshold)):
-            found.append((-b[0], b[1], k))
-    if everything and (b := index.best(everything, threshold)):
-        found.append((-b[0], b[1], 1 << 60))
+    raw = (text or "").lower().split("\n")
+    lines = [_WORD.findall(line) for line in raw]
+    units = [(k, tokens) for k, tokens in enumerate(lines) if tokens]
+    start = 0
+    for k in range(len(raw) + 1):
+        if k == len(raw) or not raw[k].strip():
+            if 1 < k - start < len(raw):
+                units.append((start, [w for line in lines[start:k] for w in line]))
+            start = k + 1
+    top = next((k for k, line in enumerate(raw) if line.strip() and not _COMMENT.match(line)), len(raw))
+    if 1 < top < len(raw):
+        units.append((0, [w for line in lines[:top] for w in line]))
+    units.append((1 << 60, [w for line in lines for w in line]))
+    found = [(-b[0], b[1], k) for k, tokens in units if tokens and (b := index.best(tokens, threshold))]
     if not found:
         return None
-    score, name, line = min(found)
+    names = {f[1] for f in found}
+    less = {REFINES[n] for n in names if n in REFINES}
+    score, name, line = min(f for f in found if f[1] not in less)
     return name, -score, -1 if line == 1 << 60 else line
 
 
@@ -125,8 +153,14 @@ def _directory(path):
 def inherit(found: DataFrame) -> DataFrame:
     """found(path, own_license, …) with license, origin (file, header, inherited or null) and
     inherited_from (a directory; '.' is the top)."""
-    rows = found.withColumn("_dir", _directory(F.col("path"))).withColumn("_file", F.col("path").rlike(LICENSE_FILE))
-    given = rows.where("_file AND own_license IS NOT NULL AND _dir IS NOT NULL").groupBy("_dir").agg(F.min(F.struct("path", "own_license")).alias("m")).select(F.col("_dir").alias("above"), F.col("m.own_license").alias("theirs"))
+    added = ("license", "origin", "inherited_from")
+    names = [c for c in found.columns if c not in added]
+    safe = [f"c{i}" for i in range(len(names))]
+    rows = save(found.select(*names).toDF(*safe), "licenses-found")
+    path, given_name = F.col(safe[names.index("path")]), F.col(safe[names.index("own_license")])
+    rows = rows.withColumn("_dir", _directory(path)).withColumn("_file", path.rlike(LICENSE_FILE))
+    licence = F.struct(path.alias("path"), given_name.alias("own_license"))
+    given = rows.where(F.col("_file") & given_name.isNotNull() & F.col("_dir").isNotNull()).groupBy("_dir").agg(F.min(licence).alias("m")).select(F.col("_dir").alias("above"), F.col("m.own_license").alias("theirs"))
     dirs = rows.where("_dir IS NOT NULL").select("_dir").distinct()
     parts = F.split("_dir", "/")
     above = F.when(F.col("_dir") == ".", F.array(F.struct(F.lit(0).alias("depth"), F.lit(".").alias("above")))).otherwise(
@@ -134,10 +168,10 @@ def inherit(found: DataFrame) -> DataFrame:
     )
     nearest = dirs.select("_dir", F.explode(above).alias("a")).select("_dir", "a.depth", "a.above").join(given, "above").groupBy("_dir").agg(F.max(F.struct("depth", "above", "theirs")).alias("n")).select("_dir", "n.above", "n.theirs")
     out = rows.join(nearest, "_dir", "left")
-    own = F.col("own_license").isNotNull()
-    return (
-        out.withColumn("license", F.coalesce("own_license", "theirs"))
-        .withColumn("origin", F.when(own & F.col("_file"), "file").when(own, "header").when(F.col("theirs").isNotNull(), "inherited"))
-        .withColumn("inherited_from", F.when(~own, F.col("above")))
-        .drop("_dir", "_file", "above", "theirs")
+    own = given_name.isNotNull()
+    return out.select(
+        *[F.col(c).alias(n) for c, n in zip(safe, names, strict=True)],
+        F.coalesce(given_name, "theirs").alias("license"),
+        F.when(own & F.col("_file"), "file").when(own, "header").when(F.col("theirs").isNotNull(), "inherited").alias("origin"),
+        F.when(~own, F.col("above")).alias("inherited_from"),
     )
