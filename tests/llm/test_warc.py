@@ -65,3 +65,47 @@ def test_chain_of_many_steps(spark):
 
 def test_empty(spark):
     assert warc.roundtrip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        data = b"WARC/1.1\r\nA: b\r\n" * n
+        began = time.perf_counter()
+        assert list(warc.parse(data)) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * max(took[0], 0.02)
+
+
+def test_damaged_records_raise_or_are_passed_over(spark, tmp_path):
+    import pytest
+
+    rows = [(i, "u", f"page {i} " * 30) for i in range(20)]
+    warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "w"))
+    file = next(p for p in (tmp_path / "w").glob("part-*") if p.stat().st_size)
+    data = file.read_bytes()
+    at = data.index(b"page 7 ")
+    for crc in (tmp_path / "w").glob(".*.crc"):
+        crc.unlink()
+    file.write_bytes(data[:at] + data[at + 40 :])  # a payload shorter than its header says
+    with pytest.raises(ValueError, match="damaged"):
+        warc.read(spark, str(tmp_path / "w"))
+    got = sorted(r.page_id for r in warc.read(spark, str(tmp_path / "w"), resume=True).collect())
+    assert got == [i for i in range(20) if i != 7]
+
+
+def test_large_pages_have_files_of_their_own(spark, tmp_path):
+    rows = [(i, "u", ("x" * (200_000 if i % 10 == 0 else 50)) + str(i)) for i in range(100)]
+    pages = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    warc.write(pages, str(tmp_path / "w"), file_bytes=300_000, file_records=100)
+    assert max(p.stat().st_size for p in (tmp_path / "w").glob("part-*")) < 400_000
+    assert sorted(r.page_id for r in warc.read(spark, str(tmp_path / "w")).collect()) == list(range(100))
+
+
+def test_very_long_payload_and_revisits_of_it(spark):
+    long = TRAP * 20_000
+    rows = [(3, "a", long), (1, "b", long), (2, "c", None), (7, "d", long)]
+    pages = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(c) for c in ("first", "payload", "path", "at", "intact", "_page")})
+    assert sorted(map(str, map(tuple, warc.roundtrip(pages).collect()))) == expected(rows)
