@@ -2,13 +2,17 @@
 
 Base kinds are email, ip, card and phone, each leftmost and non-overlapping in itself; card needs 13
 to 19 digits and Luhn's check, ip parts of at most 255, phone 9 to 15 digits, and what fails is
-dropped without another try. The method adds iban (mod-97) and secret (a credential word, a
-separator, a quoted or bare run of 20 or more hexadecimal or base-64 characters). Confirmed spans
-have a score: a prior by kind, raised when a context word of the kind stands within `window`
-characters. Base spans stay whatever their score; added kinds must reach `threshold`.
+dropped without another try. The method adds iban (the country's length, mod-97) and secret (a run of 20
+or more hexadecimal or base-64 characters, letters and digits among them, as credentials look).
+
+A confirmed span has a score: a prior by kind; more where words that speak for the kind stand within
+`window` characters (a bank for an iban, a credential's name for a secret), and where it is assigned to
+something; less where words speak for another thing (a checksum, a serial number). Base spans stay
+whatever their score, as their contract says; the added kinds must reach `threshold`, and there context
+decides: a long token that nothing names a secret is none, and an iban among serial numbers is none.
 
 Offsets are code points, the end exclusive. Null texts are empty. Patterns run in linear time on
-any text: look-behinds stop a run of digits from being tried at each of its digits, and an email is
+any text, however long: look-behinds stop a run of digits from being tried at each of its digits, and an email is
 sought around each at sign.
 """
 
@@ -32,17 +36,29 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|api[_-]?key|password|passwd|access[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?([a-z0-9+/_-]{20,}={0,2})")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
+_ASSIGNED = re.compile(r"[:=]\s{0,3}[\"']?$")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: Prior score, and words that raise it when they stand near.
+#: Fixed lengths of an iban by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15,
+    "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+    "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+_OTHER = r"(?i)\b(?:serial|part|order|invoice|tracking|isbn|sku|version|build|example)\b"
+#: Prior score, words that raise it by 0.3 when they stand near, and words that lower it by 0.3.
 CONTEXT = {
-    "email": (0.9, re.compile(r"(?i)mail|contact|write|@")),
-    "ip": (0.7, re.compile(r"(?i)\bip\b|address|host|server|login")),
-    "card": (0.8, re.compile(r"(?i)card|visa|master|credit|payment|carte|tarjeta|karte")),
-    "phone": (0.7, re.compile(r"(?i)phone|tel|call|mobile|fax|handy")),
-    "iban": (0.8, re.compile(r"(?i)iban|bank|account|konto|compte|cuenta")),
-    "secret": (0.6, re.compile(r"(?i)token|secret|key|pass")),
+    "email": (0.6, re.compile(r"(?i)mail|contact|write|reach"), re.compile(r"(?i)example|noreply")),
+    "ip": (0.5, re.compile(r"(?i)\bip\b|address|host|server|login"), re.compile(r"(?i)\b(?:version|release|section|chapter)\b")),
+    "card": (0.6, re.compile(r"(?i)card|visa|master|credit|payment|carte|tarjeta|karte"), re.compile(_OTHER)),
+    "phone": (0.5, re.compile(r"(?i)phone|tel|call|mobile|fax|handy"), re.compile(_OTHER)),
+    "iban": (0.6, re.compile(r"(?i)iban|bank|account|konto|compte|cuenta"), re.compile(_OTHER)),
+    "secret": (0.3, re.compile(r"(?i)token|secret|api[_-]?key|passw(?:or)?d|access[_-]?key|private[_-]?key|credential|bearer"), re.compile(r"(?i)\b(?:sha-?\d*|md5|checksum|digest|commit|uuid|etag|hash)\b")),
 }
 
 
@@ -56,7 +72,7 @@ def luhn(digits: str) -> bool:
 
 def mod97(iban: str) -> bool:
     s = iban.replace(" ", "")
-    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return len(s) == IBAN_LENGTHS.get(s[:2]) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 def _emails(text: str):
@@ -90,11 +106,15 @@ def find(text: str | None, window: int = 40, threshold: float = 0.5) -> list[Spa
         if "+" in text:
             found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
         found += [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0])]
-        found += [("secret", *m.span(1)) for m in _SECRET.finditer(text) if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])]
+        found += [("secret", *m.span()) for m in _SECRET.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
     out = []
     for kind, start, end in found:
-        prior, near = CONTEXT[kind]
-        score = min(1.0, prior + 0.1 * bool(near.search(text, max(0, start - window), start) or near.search(text, end, end + window)))
+        prior, speaks_for, speaks_against = CONTEXT[kind]
+        about = [text[max(0, start - window) : start], text[end : end + window]]
+        score = prior + 0.3 * any(map(speaks_for.search, about)) - 0.3 * any(map(speaks_against.search, about))
+        if kind == "secret":
+            score += 0.2 * bool(_ASSIGNED.search(about[0]))
+        score = round(min(1.0, max(0.0, score)), 6)
         if kind in BASE or score >= threshold:
             out.append(Span(kind, start, end, score))
     return out

@@ -38,7 +38,9 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scan(_read(spark, sf_dir, "documents")).drop("found")
+    """Also scores: that of each span, in the order of spans."""
+    found = pii.scan(_read(spark, sf_dir, "documents"))
+    return found.withColumn("scores", F.array_join(F.transform("found", lambda s: F.round(s["score"], 2).cast("string")), ",")).drop("found")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("matches")
+    return decontam.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), with_matches=False).drop("matches")
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
