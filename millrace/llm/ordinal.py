@@ -9,8 +9,10 @@ Fitting uses labelled rows of at most `max_rows` documents (a documented bound,
 the id), whose hashed features alone come to the driver; features of fewer than `min_docs`
 of them, or than the share `min_share`, keep weight zero. Scoring reads every whole text and shuffles nothing.
 
-Null and empty texts have the features of no word. Null grades and labels of absent documents do
-not count; of several labels of one id the lowest counts. With fewer than two grades in the labels
+Null and empty texts have the features of no word; very long ones count whole. Null grades and labels
+of absent documents do not count; of several labels of one id the lowest counts; documents that share
+an id share its grade. An empty table gives no scores, no labels a model of weights zero. Other columns
+of docs, whatever their names, are not read. With fewer than two grades in the labels
 the weights are zero and the thresholds follow the shares.
 """
 
@@ -132,9 +134,12 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, text: str = "text", d
     labelled = grades.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("grade").cast("int").alias("grade"))
     n = labelled.count()
     if n > max_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit(3), F.col("_id")), F.lit(1 << 20)) < int((1 << 20) * max_rows / n)).orderBy(F.xxhash64(F.lit(3), F.col("_id")), "_id").limit(max_rows)
+        # a filter on the hash first, a little wide, so that few rows are sorted, however many labels there are
+        drawn = F.xxhash64(F.lit(3), F.col("_id"))
+        labelled = labelled.where(F.shiftrightunsigned(drawn, 2) < min((1 << 62) - 1, (1 << 62) * 2 * max_rows // n)).orderBy(drawn, "_id").limit(max_rows)
     # at most max_rows rows of two numbers
-    chosen = docs.join(F.broadcast(labelled), F.col(doc_id) == F.col("_id")).select("grade", F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"))
+    chosen = texts.join(F.broadcast(labelled), F.col("_doc") == F.col("_id")).select("grade", "text")
     got = _features_of(chosen, "text", ("grade",)).toArrow()
     rows = [np.asarray(x.values, np.int64) for x in got.column("f")]
     y = got.column("grade").to_numpy().astype(np.int64)
