@@ -3,24 +3,58 @@ and entity linking and chunking of single texts."""
 
 from __future__ import annotations
 
+import bisect
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EVENT = "entity string, rule_id string, condition_start long, trigger_at long, last_positive_at long, closed_at long, status string, positive_observations long, qualified_observations long, nonqualifying_observations long, trigger_value double, last_value double"
 
 
+@dataclass
+class Past:
+    """What later samples need of earlier ones of their contiguous segment, and the open event."""
+
+    t: int | None = None  # of the newest sample; None before the first and after a break
+    v: float | None = None
+    same: int = 0  # samples in a row with this value
+    begun: int | None = None  # since when the condition holds
+    hits: int = 0  # qualifying samples in a row
+    quiet: int = 0  # clearing samples since the condition last held
+    recent: tuple = ()  # values as far back as the lookback reaches, oldest first
+    event: dict | None = None
+
+
+def _run_start(flag: np.ndarray) -> np.ndarray:
+    """For each sample, where the run of equal flags that it stands in begins."""
+    at = np.arange(len(flag))
+    return np.maximum.accumulate(np.where(np.concatenate(([True], flag[1:] != flag[:-1])), at, 0))
+
+
+_CONDITIONS = {
+    "gt": lambda s, v, same, earlier: v > s.value,
+    "lt": lambda s, v, same, earlier: v < s.value,
+    "outside": lambda s, v, same, earlier: (v < s.value) | (v > (np.inf if s.second is None else s.second)),
+    "stuck_exact": lambda s, v, same, earlier: same >= s.value,
+    "delta_gt": lambda s, v, same, earlier: v - earlier > s.value,
+}
+
+
 @dataclass
 class Scanner:
-    """One rule over one series, fed in order of time; finished events collect in `out`.
+    """One rule over one series; finished events collect in `out`.
 
     An event opens after `confirm` qualifying samples in a row (the condition, having lasted strictly
     longer than `duration`); while open, the condition alone keeps it alive; `clear` samples in a row
     without it close it as recovered. A gap or a missing value closes it as data_gap_unconfirmed.
-    For delta_gt a sample without its earlier value neither clears nor keeps alive."""
+    For delta_gt a sample without its earlier value neither clears nor keeps alive.
+
+    Everything but opening and closing is a column of the segment: runs, conditions and counts are
+    arrays, and events are found by stepping from one opening to the next closing among them."""
 
     op: str
     value: float
@@ -30,72 +64,79 @@ class Scanner:
     step: int = 3600
     confirm: int = 2
     clear: int = 2
-    last: int | None = None
-    last_value: float | None = None
-    since: int | None = None  # of the contiguous segment
-    start: int | None = None  # of the condition's run
-    same: int = 0
-    hits: int = 0
-    quiet: int = 0
-    past: dict = field(default_factory=dict)
-    event: dict | None = None
+    past: Past = field(default_factory=Past)
     out: list = field(default_factory=list)
 
-    def _close(self, status: str, at: int | None) -> None:
-        if self.event is not None:
-            self.out.append(self.event | {"status": status, "closed_at": at})
-            self.event = None
-
-    def _break(self, status: str = "data_gap_unconfirmed") -> None:
-        self._close(status, self.last)
-        self.last = self.last_value = self.since = self.start = None
-        self.same = self.hits = self.quiet = 0
-        self.past = {}
-
     def feed(self, t: int, v: float | None) -> None:
-        if v is None or not np.isfinite(v):
-            self._break()
-            return
-        if self.last is None or t - self.last != self.step:
-            self._break()
-            self.since = t
-        self.same = self.same + 1 if v == self.last_value else 1
-        ready = True
-        if self.op == "delta_gt":
-            self.past[t] = v
-            earlier = self.past.get(t - self.window)
-            self.past.pop(t - self.window - self.step, None)
-            ready = earlier is not None
-            cond = ready and v - earlier > self.value
-        else:
-            cond = {"gt": v > self.value, "lt": v < self.value, "outside": v < self.value or v > (self.second if self.second is not None else np.inf), "stuck_exact": self.same >= self.value}[self.op]
-        if cond and self.start is None:
-            self.start = t
-        if not cond:
-            self.start = None
-        qualifies = cond and (not self.duration or t - self.start > self.duration)
-        self.hits = self.hits + 1 if qualifies else 0
-        e = self.event
-        if e is None:
-            if self.hits >= self.confirm:
-                begun = t - (self.same - 1) * self.step if self.op == "stuck_exact" else self.start
-                self.event = {"condition_start": begun, "trigger_at": t, "last_positive_at": t, "positive_observations": self.confirm, "qualified_observations": self.confirm, "nonqualifying_observations": 0, "trigger_value": v, "last_value": v}
-                self.quiet = 0
-        elif cond:
-            self.quiet = 0
-            e["last_positive_at"], e["last_value"] = t, v
-            e["positive_observations"] += 1
-            e["qualified_observations"] += qualifies
-        elif ready:
-            self.quiet += 1
-            e["nonqualifying_observations"] += 1
-            if self.quiet >= self.clear:
-                self._close("recovered", t)
-                self.quiet = 0
-        self.last, self.last_value = t, v
+        self.run(np.array([t], np.int64), np.array([np.nan if v is None else v], np.float64))
+
+    def run(self, t: np.ndarray, v: np.ndarray) -> None:
+        """Samples by rising time, later than those before."""
+        there = np.isfinite(v)
+        follows = np.zeros(len(t), bool)
+        follows[1:] = there[1:] & there[:-1] & (np.diff(t) == self.step)
+        if len(t) and there[0] and self.past.t is not None:
+            follows[0] = t[0] - self.past.t == self.step
+        edges = np.flatnonzero(~follows).tolist()
+        if len(t) and follows[0]:
+            edges.insert(0, 0)
+        for a, b in zip(edges, [*edges[1:], len(t)], strict=True):
+            if not follows[a]:
+                self._end("data_gap_unconfirmed", self.past.t)
+                self.past = Past()
+            if there[a]:
+                self._segment(t[a:b], v[a:b])
 
     def finish(self) -> None:
-        self._close("open_at_data_end", None)
+        self._end("open_at_data_end", None)
+
+    def _end(self, status: str, at: int | None) -> None:
+        if (e := self.past.event) is not None:
+            self.out.append(e | {"status": status, "closed_at": at})
+            self.past.event = None
+
+    def _segment(self, t: np.ndarray, v: np.ndarray) -> None:
+        p, at = self.past, np.arange(len(t))
+        level = _run_start(np.concatenate(([0], np.cumsum(v[1:] != v[:-1]))))
+        same = at - level + 1 + np.where((level == 0) & (v[0] == p.v), p.same, 0)
+        earlier, back = np.full(len(t), np.nan), self.window // self.step if self.window % self.step == 0 else 0
+        known = np.concatenate((np.array(p.recent, np.float64), v))
+        if back:
+            place = at + len(p.recent) - back
+            earlier[place >= 0] = known[place[place >= 0]]
+        ready = np.isfinite(earlier) if self.op == "delta_gt" else np.ones(len(t), bool)
+        holds = ready & _CONDITIONS[self.op](self, v, same, earlier)
+        since = _run_start(holds)
+        begun = np.where((since == 0) & holds & (p.begun is not None), p.begun if p.begun is not None else 0, t[since])
+        good = holds & ((t - begun > self.duration) if self.duration else True)
+        run = _run_start(good)
+        hits = np.where(good, at - run + 1 + np.where(run == 0, p.hits, 0), 0)
+        idle = np.cumsum(ready & ~holds)
+        last = np.maximum.accumulate(np.where(holds, at, -1))
+        quiet = idle - np.where(last >= 0, idle[last], -p.quiet)
+        sums = {"positive_observations": np.cumsum(holds), "qualified_observations": np.cumsum(good), "nonqualifying_observations": idle}
+        opens, closes = np.flatnonzero(hits >= self.confirm), np.flatnonzero((quiet >= self.clear) & ~holds)
+        done = 0
+        while True:
+            if p.event is None:
+                if (k := np.searchsorted(opens, done)) == len(opens):
+                    break
+                i = int(opens[k])
+                start = t[i] - (same[i] - 1) * self.step if self.op == "stuck_exact" else begun[i]
+                p.event = {"condition_start": int(start), "trigger_at": int(t[i]), "last_positive_at": int(t[i]), "positive_observations": self.confirm, "qualified_observations": self.confirm, "nonqualifying_observations": 0, "trigger_value": float(v[i]), "last_value": float(v[i])}
+                done = i + 1
+            k = np.searchsorted(closes, done)
+            end = int(closes[k]) + 1 if k < len(closes) else len(t)
+            if end > done:
+                for name, total in sums.items():
+                    p.event[name] += int(total[end - 1] - (total[done - 1] if done else 0))
+                if (j := int(last[end - 1])) >= done:
+                    p.event["last_positive_at"], p.event["last_value"] = int(t[j]), float(v[j])
+            if k == len(closes):
+                break
+            self._end("recovered", int(t[end - 1]))
+            done = end
+        self.past = Past(int(t[-1]), float(v[-1]), int(same[-1]), int(begun[-1]) if holds[-1] else None, int(hits[-1]), int(quiet[-1]), tuple(known[-back:].tolist()) if back else (), p.event)
 
 
 def _frame(entity: str, rule: str, events: list[dict]) -> pd.DataFrame:
@@ -121,8 +162,7 @@ def scan(series: DataFrame, rules: DataFrame, step: int, confirm: int = 2, clear
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         s = _scanner(pdf.iloc[0], step, confirm, clear)
-        for t, v in zip(pdf["t"], pdf["v"], strict=True):
-            s.feed(int(t), None if pd.isna(v) else float(v))
+        s.run(pdf["t"].to_numpy(np.int64), pdf["v"].to_numpy(np.float64))
         s.finish()
         return _frame(key[0], key[1], s.out)
 
@@ -158,14 +198,31 @@ def nearest_compose(question_spans: DataFrame) -> DataFrame:
 def alias_spans(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(text_id, kind, node, alias, start, end) of every place where an alias stands as an entity. aliases
     is a lexicon (hundreds of rows) and goes to every task as one pattern by kind."""
-    import re as _re
-
     rows = [(r.kind, r.node, r.alias) for r in aliases.select("kind", "node", "alias").collect()]
 
     def run(batches):
-        pats = [(k, n, a, _re.compile(rf"(?<![A-Za-z0-9_-]){_re.escape(a)}(?![A-Za-z0-9_])" if a.isascii() else _re.escape(a), _re.I)) for k, n, a in rows]
+        # by kind, aliases that an ASCII word boundary or none at all must surround
+        kinds: dict[tuple[str, bool], dict[str, list[tuple[str, str]]]] = {}
+        for kind, node, alias in rows:
+            kinds.setdefault((kind, alias.isascii()), {}).setdefault(alias.lower(), []).append((node, alias))
+        found = []
+        for (kind, plain), names in kinds.items():
+            words = "|".join(re.escape(a) for a in sorted(names, key=lambda a: (-len(a), a)))
+            # a lookahead, so that aliases inside or across one another are all seen
+            pattern = rf"(?<![A-Za-z0-9_-])(?=({words})(?![A-Za-z0-9_]))" if plain else f"(?=({words}))"
+            found.append((kind, plain, names, re.compile(pattern, re.I)))
         for pdf in batches:
-            out = [(i, k, n, a, m.start(), m.end()) for i, t in zip(pdf["text_id"], pdf["text"], strict=True) if t for k, n, a, p in pats for m in p.finditer(t)]
+            out = []
+            for i, t in zip(pdf["text_id"], pdf["text"], strict=True):
+                for kind, plain, names, pattern in found if t else ():
+                    ends: dict[str, int] = {}
+                    for m in pattern.finditer(t):
+                        # the longest alias here, and shorter ones that it begins with
+                        for size in range(len(m[1]), 0, -1):
+                            alias, end = m[1][:size].lower(), m.start() + size
+                            if alias in names and ends.get(alias, 0) <= m.start() and not (plain and re.match("[A-Za-z0-9_]", t[end : end + 1])):
+                                ends[alias] = end
+                                out += [(i, kind, node, a, m.start(), end) for node, a in names[alias]]
             yield pd.DataFrame(out, columns=["text_id", "kind", "node", "alias", "start", "end"])
 
     return texts.select("text_id", "text").mapInPandas(run, "text_id long, kind string, node string, alias string, start int, end int")
@@ -173,21 +230,21 @@ def alias_spans(texts: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def chunk_text(text: str, most: int = 1000, overlap: int = 200) -> list[tuple[int, int]]:
     """Spans of at most `most` characters that end at the last space of their second half, where
-    there is one, and share up to `overlap` with the next. Blank ones are left out."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        end = at + most
-        if end >= n:
-            end = n
-        else:
-            space = text.rfind(" ", at + most // 2, end)
-            end = space if space > 0 else end
-        if not text[at:end].isspace():
-            out.append((at, end))
-        if end == n:
-            break
-        at = max(at + 1, end - overlap)
-    return out
+    there is one, and share up to `overlap` with the next. Blank ones are left out. The places of
+    spaces are listed once and searched by bisection, so long texts take time in proportion."""
+    spaces = [m.start() for m in re.finditer(" ", text)]
+
+    def end_of(begin: int) -> int:
+        if (limit := begin + most) >= len(text):
+            return len(text)
+        k = bisect.bisect_left(spaces, limit)
+        return spaces[k - 1] if k and spaces[k - 1] >= max(1, begin + most // 2) else limit
+
+    ends = [(0, end_of(0))] if text else []
+    while ends and ends[-1][1] < len(text):
+        begin = max(ends[-1][0] + 1, ends[-1][1] - overlap)
+        ends.append((begin, end_of(begin)))
+    return [(a, b) for a, b in ends if not text[a:b].isspace()]
 
 
 def chunks(texts: DataFrame, id_col: str, text: str, most: int = 1000, overlap: int = 200) -> DataFrame:
@@ -200,7 +257,3 @@ def chunks(texts: DataFrame, id_col: str, text: str, most: int = 1000, overlap:
             yield pd.DataFrame(out, columns=["id", "chunk", "start", "end", "text"])
 
     return texts.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, chunk int, start int, end int, text string")
-
-
-def condition_of(op: Column, v: Column, value: Column, second: Column) -> Column:
-    return F.when(op == "gt", v > value).when(op == "lt", v < value).when(op == "outside", (v < value) | (v > second))

@@ -9,26 +9,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import stateful as S
 
-_STATE = "last long, last_value double, since long, start long, same long, hits long, quiet long, past_t array<long>, past_v array<double>, open boolean, condition_start long, trigger_at long, last_positive_at long, positive long, qualified long, nonqualifying long, trigger_value double, last_event_value double"
+_EVENT = ("condition_start", "trigger_at", "last_positive_at", "positive_observations", "qualified_observations", "nonqualifying_observations", "trigger_value", "last_value")
+_STATE = "fed long, t long, v double, same long, begun long, hits long, quiet long, recent array<double>, open boolean, " + ", ".join(f"{c} {'double' if c.endswith('value') else 'long'}" for c in _EVENT)
 
 
-def _save(s: S.Scanner) -> tuple:
-    e = s.event or {}
-    return (s.last, s.last_value, s.since, s.start, s.same, s.hits, s.quiet, [int(t) for t in s.past], [float(v) for v in s.past.values()], s.event is not None, e.get("condition_start"), e.get("trigger_at"), e.get("last_positive_at"), e.get("positive_observations"), e.get("qualified_observations"), e.get("nonqualifying_observations"), e.get("trigger_value"), e.get("last_value"))
+def _save(s: S.Scanner, fed: int | None) -> tuple:
+    p = s.past
+    return (fed, p.t, p.v, p.same, p.begun, p.hits, p.quiet, list(p.recent), p.event is not None, *((p.event or {}).get(c) for c in _EVENT))
 
 
-def _load(s: S.Scanner, state: tuple) -> None:
-    s.last, s.last_value, s.since, s.start, s.same, s.hits, s.quiet = state[:7]
-    s.past = dict(zip(state[7] or [], state[8] or [], strict=True))
-    if state[9]:
-        names = ("condition_start", "trigger_at", "last_positive_at", "positive_observations", "qualified_observations", "nonqualifying_observations", "trigger_value", "last_value")
-        s.event = dict(zip(names, state[10:], strict=True))
+def _load(s: S.Scanner, state: tuple) -> int | None:
+    fed, t, v, same, begun, hits, quiet, recent, is_open, *event = state
+    s.past = S.Past(t, v, same, begun, hits, quiet, tuple(recent or ()), dict(zip(_EVENT, event, strict=True)) if is_open else None)
+    return fed
 
 
 def scan_stream(series: DataFrame, rules: DataFrame, step: int, confirm: int = 2, clear: int = 2) -> DataFrame:
@@ -38,14 +38,11 @@ def scan_stream(series: DataFrame, rules: DataFrame, step: int, confirm: int = 2
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches)).sort_values("t")
         s = S._scanner(pdf.iloc[0], step, confirm, clear)
-        if state.exists:
-            _load(s, state.get)
-        fed = s.last
-        for t, v in zip(pdf["t"], pdf["v"], strict=True):
-            if fed is None or t > fed:
-                s.feed(int(t), None if pd.isna(v) else float(v))
-                fed = int(t)
-        state.update(_save(s))
+        fed = _load(s, state.get) if state.exists else None
+        new = pdf if fed is None else pdf[pdf["t"] > fed]
+        new = new.drop_duplicates("t")
+        s.run(new["t"].to_numpy(np.int64), new["v"].to_numpy(np.float64))
+        state.update(_save(s, int(new["t"].iloc[-1]) if len(new) else fed))
         yield S._frame(key[0], key[1], s.out)
 
     return joined.groupBy("entity", "rule_id").applyInPandasWithState(run, S.EVENT, _STATE, "append", "NoTimeout")
