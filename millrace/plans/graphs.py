@@ -51,9 +51,9 @@ def triple_lookup(tb):
     return t.where("p = 'inNation' AND o = 'N3'").select(F.col("s").alias("node")).unionByName(t.where("s = 'N3' AND p = 'inRegion'").select(F.col("o").alias("node")))
 
 
-@query(f"WITH {TRIPLES_SQL}, l AS (SELECT s, p, list_sort(list(o)) AS os FROM tr WHERE s LIKE 'N%' OR s LIKE 'S%' GROUP BY s, p), x AS (SELECT s, string_agg('\"' || p || '\":[\"' || array_to_string(os, '\",\"') || '\"]', ',' ORDER BY p) AS body FROM l GROUP BY s) SELECT s, '{{' || body || '}}' AS node FROM x")
+@query(f"WITH {TRIPLES_SQL}, l AS (SELECT s, p, list_sort(list(o)) AS os FROM tr GROUP BY s, p), x AS (SELECT s, string_agg('\"' || p || '\":[\"' || array_to_string(os, '\",\"') || '\"]', ',' ORDER BY p) AS body FROM l GROUP BY s) SELECT s, '{{' || body || '}}' AS node FROM x")
 def node_serialisation(tb):
-    return G.node_json(triples(tb).where("s LIKE 'N%' OR s LIKE 'S%'"))
+    return G.node_json(triples(tb))
 
 
 @query(f"WITH {TRIPLES_SQL}, e AS (SELECT s AS a, o AS b FROM tr WHERE p IN ('inNation', 'inRegion') UNION SELECT o, s FROM tr WHERE p IN ('inNation', 'inRegion')), d1 AS (SELECT DISTINCT b AS node FROM e WHERE a = 'N3' AND b <> 'N3'), d2 AS (SELECT DISTINCT e.b AS node FROM e JOIN d1 ON e.a = d1.node WHERE e.b <> 'N3' AND e.b NOT IN (SELECT node FROM d1)) SELECT 'N3' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2")

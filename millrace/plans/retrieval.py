@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import retrieval as R
 from .registry import Tables, query
 
+#: Fixed pattern of a token, as in functions.text.
 TOKENS_SQL = "flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+(?:[-_.][a-z0-9]+)*|[가-힣]+'), lambda w: list_concat([w], CASE WHEN regexp_matches(w, '[-_]') THEN list_filter(regexp_split_to_array(w, '[-_]'), lambda p: p <> '') ELSE [] END)))"
 SQUEEZE_SQL = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
@@ -24,10 +25,13 @@ BM25_SQL = f"{POST_SQL}, bm AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.
 IDF_SQL = "idf AS (SELECT query, doc, round(sum(ln(1 + n / (1 + df))), 9) AS score FROM post JOIN df USING (term) JOIN q USING (term), st GROUP BY query, doc)"
 
 
-def lexical(tb: Tables) -> tuple[DataFrame, DataFrame, int, float]:
+def lexical(tb: Tables, every_term: bool = False) -> tuple[DataFrame, DataFrame, int, float]:
+    """Postings (of the queries' terms, if not every_term), the queries' terms, the number of documents
+    and their mean length."""
     toks = T.tokens(F.col("text"))
     stats = tb.documents.select(F.size(toks).alias("n")).agg(F.count("*"), F.avg("n")).first()
-    return R.postings(tb.documents, "doc_id", toks), R.query_terms(tb.benchmark, "item_id", toks), stats[0], float(stats[1] or 1.0)
+    terms = R.query_terms(tb.benchmark, "item_id", toks)
+    return R.postings(tb.documents, "doc_id", toks, None if every_term else terms), terms, stats[0], float(stats[1] or 1.0)
 
 
 def bm25_scores(tb: Tables) -> DataFrame:
@@ -47,7 +51,7 @@ def idf_overlap_topk(tb):
 
 @query(f"WITH {POST_SQL} SELECT term, df, (SELECT n FROM st) AS n_docs, round((SELECT al FROM st), 6) AS mean_length FROM df")
 def term_statistics(tb):
-    post, _, n, mean = lexical(tb)
+    post, _, n, mean = lexical(tb, every_term=True)
     return post.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", F.lit(n).cast("long").alias("n_docs"), F.lit(round(mean, 6)).alias("mean_length"))
 
 

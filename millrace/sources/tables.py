@@ -129,3 +129,109 @@ def replay_slice(obs: DataFrame, start: int, minutes: int) -> DataFrame:
     span = obs.groupBy("sensor_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).agg(F.max("a").alias("lo"), F.min("b").alias("hi"))
     end = start + 60 * minutes
     return obs.join(F.broadcast(span), (F.lit(start) >= F.col("lo")) & (F.lit(end) <= F.col("hi"))).where((F.col("t") >= start) & (F.col("t") < end)).drop("lo", "hi")
+
+
+def raw_files(spark, root: str, allowed: list[str], hashes: dict[str, str] | None = None, most: int = 5 << 20) -> DataFrame:
+    """(path, content, sha256) of the files of an allowlist (paths under root, no '..' and no link out),
+    read from `root`, or from the archive root.zip where the folder hasn't got them. Larger files than
+    `most` bytes, and content that hasn't the stated hash, raise. Only names are listed on the driver."""
+    import io
+    import zipfile
+
+    if bad := [p for p in allowed if p.startswith("/") or ".." in p.split("/") or not p]:
+        raise ValueError(f"not under the folder: {bad}")
+    base = root.rstrip("/")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [p for p in allowed if fs.exists(fs_path(f"{base}/{p}"))]
+    parts = []
+    if there:
+        # names without the scheme, which the reader adds
+        files = spark.read.format("binaryFile").load([f"{base}/{p}" for p in there])
+        name = F.lit(None).cast("string")
+        for p in there:
+            name = F.when(F.endswith("path", F.lit(f"/{p}")), p).otherwise(name)
+        parts.append(files.select(name.alias("path"), "length", "content"))
+    missing = sorted(set(allowed) - set(there))
+    if missing:
+        wanted = set(missing)
+
+        def members(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                for data in pdf["content"]:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        names = [i for i in z.infolist() if i.filename in wanted and i.file_size <= most]
+                        yield pd.DataFrame({"path": [i.filename for i in names], "length": [i.file_size for i in names], "content": [z.read(i) for i in names]})
+
+        parts.append(spark.read.format("binaryFile").load(f"{base}.zip").select("content").mapInPandas(members, "path string, length long, content binary"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    digest = F.sha2("content", 256)
+    stated = F.lit(None).cast("string")
+    for p, h in (hashes or {}).items():
+        stated = F.when(F.col("path") == p, h).otherwise(stated)
+    checked = F.when(F.col("length") > most, F.raise_error(F.concat(F.lit("too large: "), "path"))).when(stated != digest, F.raise_error(F.concat(F.lit("changed: "), "path"))).otherwise(digest)
+    return out.select("path", "content", checked.alias("sha256"))
+
+
+def corpus_violations(corpus: DataFrame, sources: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(code, key) of corpus(key, source, text, text_sha256): unexpected_source (not in sources(source)),
+    duplicate_id, blank_text, hash_mismatch. A corpus without rows here may be frozen."""
+    listed = sources.select(F.col("source").alias("_s")).distinct()
+    j = corpus.join(listed, F.col("source") == F.col("_s"), "left")
+    checks = [("unexpected_source", F.col("_s").isNull()), ("blank_text", F.col("text").isNull() | (F.length(F.trim("text")) == 0)), ("hash_mismatch", F.col("text_sha256") != F.sha2(F.col("text").cast("binary"), 256))]
+    codes = F.filter(F.array(*[F.when(c, n) for n, c in checks]), lambda x: x.isNotNull())
+    rows = j.select(F.explode(codes).alias("code"), key)
+    twice = corpus.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_id").alias("code"), key)
+    return rows.unionByName(twice)
+
+
+def index_manifest(index: DataFrame, corpus: list[str], vector: str, part: str) -> DataFrame:
+    """(part, n, corpus_seal, vector_seal) of a vector index: order-free seals of its corpus columns and of
+    its vectors, as sums of hashes by part."""
+    h = index.select(part, F.xxhash64(*corpus).cast("decimal(38,0)").alias("c"), F.xxhash64(corpus[0], vector).cast("decimal(38,0)").alias("v"))
+    seal = lambda x: F.sha2(F.sum(x).cast("string"), 256)
+    return h.groupBy(part).agg(F.count("*").alias("n"), seal("c").alias("corpus_seal"), seal("v").alias("vector_seal"))
+
+
+def index_breaks(sealed: DataFrame, now: DataFrame, part: str) -> DataFrame:
+    """(part, broken, n) by part: what differs from the sealed manifest, 'corpus', 'vectors', both, or ''."""
+    b = now.select(F.col(part).alias("_p"), F.col("n").alias("_n"), F.col("corpus_seal").alias("_c"), F.col("vector_seal").alias("_v"))
+    j = sealed.join(b, F.col(part) == F.col("_p"), "full")
+    corpus = ~F.col("corpus_seal").eqNullSafe(F.col("_c")) | ~F.col("n").eqNullSafe(F.col("_n"))
+    vectors = ~F.col("vector_seal").eqNullSafe(F.col("_v"))
+    return j.select(F.coalesce(part, "_p").alias(part), F.concat_ws(",", F.when(corpus, "corpus"), F.when(vectors, "vectors")).alias("broken"), F.coalesce("_n", "n").alias("n"))
+
+
+def load_index(index: DataFrame, sealed: DataFrame, corpus: list[str], vector: str, part: str) -> DataFrame:
+    """The index, if no part of it differs from the sealed manifest; else an error that names the parts."""
+    if bad := index_breaks(sealed, index_manifest(index, corpus, vector, part), part).where("broken <> ''").orderBy(part).limit(5).collect():
+        raise ValueError("the index isn't what was sealed: " + ", ".join(f"{r[part]} ({r.broken})" for r in bad))
+    return index
+
+
+def repeated_fields(df: DataFrame, column: str) -> DataFrame:
+    """Adds repeated: whether some object of the JSON names a field twice, null where it isn't JSON. A
+    parser that keeps the last of two would hide it, so each object is looked at as it is read."""
+    import json
+
+    def twice(text: str | None) -> bool | None:
+        found = []
+
+        def fields(pairs):
+            found.append(len({k for k, _ in pairs}) != len(pairs))
+
+        try:
+            json.loads(text, object_pairs_hook=fields)
+        except (TypeError, ValueError):
+            return None
+        return any(found)
+
+    return df.withColumn("repeated", F.udf(twice, "boolean", useArrow=True)(column))
+
+
+def roundtrip_breaks(stored: DataFrame, again: DataFrame, key: str) -> DataFrame:
+    """(side, key) of rows that only the stored table, or only the one normalised again, has."""
+    a = stored.exceptAll(again.select(*stored.columns)).select(F.lit("stored_only").alias("side"), key)
+    return a.unionByName(again.select(*stored.columns).exceptAll(stored).select(F.lit("upload_only").alias("side"), key))
