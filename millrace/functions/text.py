@@ -47,21 +47,24 @@ def mentions(text: Column, alias: Column | str) -> Column:
 
 #: Fixed list of Korean particles that end a token, in the order they are tried.
 PARTICLES = ("에서는", "으로는", "에서", "으로", "에게", "까지", "부터", "보다", "은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "도", "로", "만")
+#: Fixed pattern of a token.
 TOKEN = r"[a-z0-9]+(?:[-_.][a-z0-9]+)*|[가-힣]+"
 
 
+def parts_of(w: Column) -> Column:
+    """What a token adds to itself: its parts, if it has '-' or '_', or, of a Hangul word, the word without
+    a particle if two characters stay. Most tokens are neither and are told by a look at their characters."""
+    none = F.array().cast("array<string>")
+    stem = F.regexp_extract(w, "^(.{2,}?)(?:" + "|".join(PARTICLES) + ")$", 1)
+    joined = F.contains(w, F.lit("-")) | F.contains(w, F.lit("_"))
+    return F.when(joined, F.filter(F.split(w, "[-_]"), lambda p: p != "")).when((w >= "가") & (stem != ""), F.array(stem)).otherwise(none)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased tokens: runs of letters and digits joined by '-', '_' or '.', and Hangul words. A
     token with '-' or '_' is followed by its parts, a Hangul word by itself without a particle if two
     characters stay."""
-    none = F.array().cast("array<string>")
-
-    def expand(w: Column) -> Column:
-        parts = F.when(w.rlike("[-_]"), F.filter(F.split(w, "[-_]"), lambda p: p != "")).otherwise(none)
-        stem = F.regexp_extract(w, "^(.{2,}?)(?:" + "|".join(PARTICLES) + ")$", 1)
-        return F.concat(F.array(w), parts, F.when(w.rlike("^[가-힣]") & (stem != ""), F.array(stem)).otherwise(none))
-
-    return F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), expand))
+    return F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: F.concat(F.array(w), parts_of(w))))
 
 
 def row_text(header: Column, values: Column) -> Column:

@@ -1,7 +1,7 @@
 """Ranking and packing: BM25, idf overlap, dense top-k, rank fusion, interleaving, budgets.
 
-Postings (doc, term, tf) are shuffled by term and meet only the terms of queries; a document's score
-is a sum that combines before its shuffle. Ties always go to the smaller id.
+Postings (doc, term, tf) meet the terms of queries before they are shuffled; a document's score is a sum
+that combines before its shuffle. Ties always go to the smaller id.
 """
 
 from __future__ import annotations
@@ -13,10 +13,14 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 
 
-def postings(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
-    """(doc, term, tf, length)."""
+def postings(docs: DataFrame, doc_id: str, tokens: Column, terms: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, length). With terms(term) only these are counted: what no query asks for is left
+    out before the shuffle, and a document's length is that of its whole text all the same."""
     d = docs.select(F.col(doc_id).alias("doc"), tokens.alias("ts")).withColumn("length", F.size("ts"))
-    return d.select("doc", "length", F.explode("ts").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    every = d.select("doc", "length", F.explode("ts").alias("term"))
+    if terms is not None:
+        every = every.join(terms.select("term").distinct(), "term", "left_semi")
+    return every.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def query_terms(queries: DataFrame, query_id: str, tokens: Column) -> DataFrame:
@@ -24,19 +28,18 @@ def query_terms(queries: DataFrame, query_id: str, tokens: Column) -> DataFrame:
 
 
 def bm25(post: DataFrame, queries: DataFrame, n_docs: int, avg_length: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, doc, score) of documents that share a term with the query. queries(query, term)."""
-    hit = post.join(queries.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    """(query, doc, score) of documents that share a term with the query. queries(query, term); post has
+    the postings of all their terms."""
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / avg_length))
-    return hit.join(df, "term").withColumn("gain", gain).join(queries, "term").groupBy("query", "doc").agg(F.sum("gain").alias("score"))
+    return post.join(df, "term").withColumn("gain", gain).join(queries, "term").groupBy("query", "doc").agg(F.sum("gain").alias("score"))
 
 
 def idf_overlap(post: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame:
     """(query, doc, score): sum of ln(1 + N / (1 + df)) of shared terms."""
-    hit = post.join(queries.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    return hit.select("doc", "term").join(df, "term").join(queries, "term").groupBy("query", "doc").agg(F.sum(F.log(1 + n_docs / (1 + F.col("df")))).alias("score"))
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    return post.select("doc", "term").join(df, "term").join(queries, "term").groupBy("query", "doc").agg(F.sum(F.log(1 + n_docs / (1 + F.col("df")))).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
@@ -113,31 +116,29 @@ def _gram(n: int):
     return lambda i: F.array_join(F.slice("ws", i, F.lit(n)), " ")
 
 
-def containment(texts: DataFrame, quotes: DataFrame, words: int = 5, max_short: int = 10_000) -> DataFrame:
+def containment(texts: DataFrame, quotes: DataFrame, words: int = 5, block_rows: int = 10_000) -> DataFrame:
     """(doc_id, item_id) where a text holds a quote, white space aside. A quote may begin and end
     inside words, so its key is the first `words` of the words between; quotes meet only the texts
     that have their key, then the whole quote is looked for. Quotes of one or two words have no such
-    key: they are a stated set, checked for size, that every text is searched for."""
+    key: they are a stated set, which every text is searched for in blocks of block_rows."""
     t = texts.select("doc_id", T.squeeze(F.col("text")).alias("x"))
     q = quotes.select("item_id", T.squeeze(F.col("text")).alias("q")).where("q <> ''").withColumn("qs", F.split("q", " "))
     q = q.withColumn("n", F.least(F.lit(words), F.size("qs") - 2))
     short = q.where("n < 1").select("item_id", "q")
     q = q.where("n >= 1").withColumn("key", F.array_join(F.slice("qs", F.lit(2), F.col("n")), " "))
-    sizes = sorted(r.n for r in q.select("n").distinct().collect())  # at most `words` numbers
+    counts = {r.n: r["count"] for r in quotes.select(F.least(F.lit(words), F.size(F.split(T.squeeze(F.col("text")), " ")) - 2).alias("n")).where("n IS NOT NULL").groupBy("n").count().collect()}
+    sizes, n = sorted(k for k in counts if k >= 1), sum(c for k, c in counts.items() if k < 1)  # at most `words` + 2 numbers
     found = None
     if sizes:
         grams = [F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), _gram(n)) for n in sizes]
         none = F.array().cast("array<string>")
         every = F.concat(*[F.when(F.size("ws") >= n, g).otherwise(none) for n, g in zip(sizes, grams, strict=True)])
         keys = q.select("key").distinct()
-        keys = F.broadcast(keys) if keys.count() <= 100_000 else keys
         seen = t.withColumn("ws", F.split("x", " ")).select("doc_id", F.explode(F.array_distinct(every)).alias("key")).join(keys, "key", "left_semi")
         pairs = seen.join(q.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
         found = pairs.join(t, "doc_id").join(q.select("item_id", "q"), "item_id").where(F.contains("x", F.col("q"))).select("doc_id", "item_id")
-    n = short.count()
-    if n > max_short:
-        raise ValueError(f"{n} quotes of one or two words; at most {max_short} can be searched for")
-    if n:
-        more = t.join(F.broadcast(short), F.contains("x", F.col("q"))).select("doc_id", "item_id")
+    for b in range(blocks := -(-n // block_rows)):
+        part = short if blocks == 1 else short.where(F.pmod(F.xxhash64("item_id", "q"), F.lit(blocks)) == b)
+        more = t.join(F.broadcast(part), F.contains("x", F.col("q"))).select("doc_id", "item_id")
         found = more if found is None else found.unionByName(more)
     return found if found is not None else t.join(q.select("item_id"), F.lit(False)).select("doc_id", "item_id")
