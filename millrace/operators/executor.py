@@ -57,7 +57,7 @@ def _condition(wanted: dict[str, list[int]]) -> Column:
     return out
 
 
-def execute(samples: DataFrame, rules: DataFrame, sigma: DataFrame, step: int, smooth: int = 2) -> DataFrame:
+def execute(samples: DataFrame, rules: DataFrame, sigma: DataFrame | None, step: int, smooth: int = 2) -> DataFrame:
     """Alarms of normalise() rules over with_segments() samples(entity, t, v, gap, pos). sigma(entity,
     sigma) calibrates slopes; without one a slope rule has no alarm. A rule's alarm is one run of its
     condition: a threshold fires when the run has lasted strictly longer than `duration` (at once if 0),
@@ -73,7 +73,8 @@ def execute(samples: DataFrame, rules: DataFrame, sigma: DataFrame, step: int, s
     for n in lengths.get("window_change", []):
         x = S.window_change(x, n, smooth).withColumnsRenamed({"now": f"now_{n}", "before": f"before_{n}"})
     key = ("entity", "rule_id")
-    judged = x.join(rules, "entity").join(sigma.select("entity", "sigma"), "entity", "left")
+    judged = x.join(rules, "entity")
+    judged = judged.withColumn("sigma", F.lit(None).cast("double")) if sigma is None else judged.join(sigma.select("entity", "sigma"), "entity", "left")
     runs = S.with_runs(judged, _condition(lengths), key)
     nth = (F.col("t") - F.col("run_start")) / step + 1
     duration = F.coalesce("duration", F.lit(0))

@@ -127,3 +127,47 @@ def forbidden(triples: DataFrame, p: str | None, pattern: str, code: str) -> Dat
     """Triples whose value matches a pattern that must not occur."""
     t = triples if p is None else triples.where(F.col("p") == p)
     return t.where(F.col("o").rlike(pattern)).select(F.lit(code).alias("code"), F.col("s").alias("node"), F.col("o").alias("detail"))
+
+
+def in_range(triples: DataFrame, p: str, lo: float | None, hi: float | None, code: str) -> DataFrame:
+    """Values of p that are no number, or lie below lo or above hi."""
+    v = F.col("o").try_cast("double")
+    bad = v.isNull()
+    if lo is not None:
+        bad = bad | (v < lo)
+    if hi is not None:
+        bad = bad | (v > hi)
+    return triples.where((F.col("p") == p) & bad).select(F.lit(code).alias("code"), F.col("s").alias("node"), F.lit(p).alias("detail"))
+
+
+def apart(triples: DataFrame, p: str, q: str, code: str) -> DataFrame:
+    """Subjects with one and the same value of p and of q."""
+    same = triples.where(F.col("p").isin(p, q)).groupBy("s", "o").agg(F.count_distinct("p").alias("n")).where("n = 2")
+    return same.select(F.lit(code).alias("code"), F.col("s").alias("node"), F.col("o").alias("detail"))
+
+
+def one_subtype(triples: DataFrame, nodes: DataFrame, types: list[str], code: str) -> DataFrame:
+    """Nodes(s) whose types hold none or several of the given ones; detail says how many."""
+    n = triples.where((F.col("p") == "type") & F.col("o").isin(types)).groupBy("s").agg(F.count_distinct("o").alias("n"))
+    k = F.coalesce("n", F.lit(0))
+    return nodes.join(n, "s", "left").where(k != 1).select(F.lit(code).alias("code"), F.col("s").alias("node"), k.cast("string").alias("detail"))
+
+
+def required(triples: DataFrame, when_p: str, values: list[str], then: list[list[str]], code: str) -> DataFrame:
+    """Subjects whose when_p has one of the values and that lack some property of every one of the groups
+    in `then`: one whole group must be there. Each subject's properties combine before one shuffle."""
+    used = sorted({x for group in then for x in group})
+    g = triples.where(F.col("p").isin(when_p, *used)).groupBy("s").agg(F.max((F.col("p") == when_p) & F.col("o").isin(values)).alias("_when"), *[F.max(F.col("p") == x).alias(f"_{x}") for x in used])
+    whole = F.lit(False)
+    for group in then:
+        one = F.lit(True)
+        for x in group:
+            one = one & F.col(f"_{x}")
+        whole = whole | one
+    return g.where(F.col("_when") & ~whole).select(F.lit(code).alias("code"), F.col("s").alias("node"), F.lit("+".join(used)).alias("detail"))
+
+
+def forbidden_names(triples: DataFrame, names: list[str], code: str) -> DataFrame:
+    """Properties whose names, case, '_' and '-' aside, are forbidden."""
+    folded = F.lower(F.regexp_replace(F.regexp_replace("p", "^.*[/#: ]", ""), "[_-]", ""))
+    return triples.where(folded.isin(names)).select(F.lit(code).alias("code"), F.col("s").alias("node"), F.col("p").alias("detail"))

@@ -31,7 +31,7 @@ def overlap_join(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, r
 def as_of(effects: DataFrame, causes: DataFrame, pairs: DataFrame, within: str = "within", bucket: int = 86_400) -> DataFrame:
     """Each effect with its latest cause in [start - within, start]; ties go to the larger cause id.
     effects(effect_id, effect, start), causes(cause_id, cause, cause_start), pairs(cause, effect, within)."""
-    want = effects.join(F.broadcast(pairs), "effect").withColumn("_from", F.col("start") - F.col(within))
+    want = effects.join(pairs, "effect").withColumn("_from", F.col("start") - F.col(within))
     want = by_bucket(want, "_from", "start", bucket)
     have = causes.withColumn("_bucket", F.floor(F.col("cause_start") / bucket))
     hits = want.join(have, ["cause", "_bucket"]).where((F.col("cause_start") >= F.col("_from")) & (F.col("cause_start") <= F.col("start")))
@@ -118,7 +118,7 @@ def promote(signals: DataFrame, causes: DataFrame, pairs: DataFrame, nominal: Co
     lies on the pair's side of the nominal value; one alarm a signal, the later window wins.
     signals(signal_id, entity, trigger_at, trigger_value), causes(cause_id, cause, anchor),
     pairs(cause, effect, within, direction)."""
-    win = causes.join(F.broadcast(pairs), "cause").withColumn("_to", F.col("anchor") + F.col("within"))
+    win = causes.join(pairs, "cause").withColumn("_to", F.col("anchor") + F.col("within"))
     win = by_bucket(win, "anchor", "_to", bucket)
     sig = signals.withColumn("_bucket", F.floor(F.col("trigger_at") / bucket)).withColumnRenamed("entity", "effect")
     hit = sig.join(win, ["effect", "_bucket"]).where((F.col("trigger_at") >= F.col("anchor")) & (F.col("trigger_at") <= F.col("_to")))
@@ -130,7 +130,7 @@ def verified_links(effects: DataFrame, causes: DataFrame, pairs: DataFrame, nomi
     """Each effect incident with the cause of the latest anchor in [start - within, start], if some
     alarm of the effect lies on the pair's side of nominal and, where the effect has monitor alarms,
     the cause opened one of them. effects(effect_id, effect, start, low, high, monitors array)."""
-    want = effects.join(F.broadcast(pairs), "effect").withColumn("_from", F.col("start") - F.col("within"))
+    want = effects.join(pairs, "effect").withColumn("_from", F.col("start") - F.col("within"))
     side = F.when(F.col("direction") == "above_nominal", F.col("high") > nominal).when(F.col("direction") == "below_nominal", F.col("low") < nominal).otherwise(True)
     want = by_bucket(want.where(side), "_from", "start", bucket)
     have = causes.withColumn("_bucket", F.floor(F.col("anchor") / bucket))

@@ -70,7 +70,7 @@ def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
 
 def with_tail(ranked: DataFrame, docs: DataFrame) -> DataFrame:
     """Every (query, doc) with position: ranked ones first, the others by id. docs(doc); ranked(query, doc, rank)."""
-    every = ranked.select("query").distinct().crossJoin(F.broadcast(docs.select("doc")))
+    every = docs.select("doc").crossJoin(F.broadcast(ranked.select("query").distinct()))  # the stated queries
     return every.join(ranked, ["query", "doc"], "left").withColumn("position", F.row_number().over(W.partitionBy("query").orderBy(F.col("rank").asc_nulls_last(), "doc")))
 
 

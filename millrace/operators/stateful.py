@@ -157,7 +157,7 @@ def _scanner(row, step: int, confirm: int, clear: int) -> Scanner:
 def scan(series: DataFrame, rules: DataFrame, step: int, confirm: int = 2, clear: int = 2) -> DataFrame:
     """Events of series(entity, t, v) under rules(entity, rule_id, op, value, second, duration,
     window): one group a series and rule, in order of time."""
-    joined = series.select("entity", "t", "v").join(F.broadcast(rules.select("entity", *RULE)), "entity")
+    joined = series.select("entity", "t", "v").join(rules.select("entity", *RULE), "entity")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators import evaluate, links, rules, series
+from ..operators import evaluate, executor, links, rules, series
 from .registry import Tables, query
 
 H = 3600
@@ -152,7 +152,7 @@ CUT = 1_705_276_800  # 2024-01-15
 def slope_alarms(tb):
     """Slopes beyond 0.2 sigma a step that point away from nominal, twice in a row."""
     g = series.grid(tb.events, H)
-    x = series.rolling_slope(series.with_segments(g, H), 6).join(F.broadcast(series.robust_sigma(g, CUT)), "entity").join(F.broadcast(limits(tb)), "entity")
+    x = series.rolling_slope(series.with_segments(g, H), 6).join(series.robust_sigma(g, CUT), "entity").join(F.broadcast(limits(tb)), "entity")
     r = series.with_runs(x, (F.col("sigma") > 0) & (F.abs("slope_per_step") > 0.2 * F.col("sigma")) & (F.signum(F.col("fitted_end") - F.col("nominal")) == F.signum("slope_per_step")))
     return series.counted_runs(r, 2, H, offset=5 * H)
 
@@ -192,14 +192,24 @@ def warm_up_context(tb):
 _KINDS = (("kg_threshold_warning", "WARN", "v > warn", 1), ("kg_threshold_critical", "CRIT", "v > crit", 1), ("sop002_out_of_range", "OOR", "v < lo * 2 OR v > warn", 3), ("kg_maint_drift", "DRIFT", "abs(v - nominal) > 30", 4))
 
 
+def alarm_rules(tb: Tables) -> DataFrame:
+    """The rules of _KINDS for every entity, in the executor's form."""
+    lim = limits(tb)
+
+    def rule(k: int, name: str, value, second=None, op=None, readings=None) -> DataFrame:
+        kind, rule_id = _KINDS[k][:2]
+        null = F.lit(None)
+        return lim.select(F.lit(rule_id).alias("rule_id"), F.lit(kind).alias("kind"), "entity", F.lit(name).alias("executor"), F.lit(op).alias("op"), value.alias("value"), (null if second is None else second).cast("double").alias("second"), F.lit(readings).cast("int").alias("readings"), "nominal")
+
+    warn, crit, lo = F.col("warn"), F.col("crit"), F.col("lo")
+    return executor.normalise(
+        rule(0, "threshold_scan", warn, op="gt"), rule(1, "threshold_scan", crit, op="gt"), rule(2, "outside_run", lo * 2, warn, readings=_KINDS[2][3]), rule(3, "sustained_from_nominal", F.lit(30.0), readings=_KINDS[3][3])
+    )
+
+
 def alarms(tb: Tables) -> DataFrame:
-    """Alarms of every kind over one shared series; alarm_id names kind, entity and time."""
-    base = limited(tb)
-    parts = [series.counted_runs(series.with_runs(base, c), n, H).withColumns({"kind": F.lit(k), "rule_id": F.lit(r)}) for k, r, c, n in _KINDS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("alarm_id", F.concat_ws("-", "rule_id", "entity", F.col("trigger_at").cast("string")))
+    """Alarms of every kind over one shared series, in one pass; alarm_id names kind, entity and time."""
+    return executor.execute(hourly(tb), alarm_rules(tb), None, H).drop("flag")
 
 
 _PARTS = [f"{run_sql(c, 'sl', f'k{i}r')}, k{i} AS (SELECT entity, start AS run_start, min(t) AS trigger_at, max(t) AS last_positive_at, count(*) AS positive_samples, arg_min(v, t) AS trigger_value, '{k}' AS kind, '{r}' AS rule_id FROM k{i}r WHERE rn >= {n} GROUP BY entity, start)" for i, (k, r, c, n) in enumerate(_KINDS)]
@@ -238,7 +248,7 @@ def incident_summary(tb):
 @query(f"WITH {SESSIONS_SQL}, tags(rule_id, tag) AS (VALUES ('DRIFT', 'CRITICAL'), ('WARN', 'WARNING')) SELECT entity, session, ['ADVISORY', 'WARNING', 'CRITICAL'][greatest({SEVERITY_SQL}, coalesce(max(CASE tag WHEN 'CRITICAL' THEN 2 WHEN 'WARNING' THEN 1 END), 0)) + 1] AS severity FROM se LEFT JOIN tags USING (rule_id) GROUP BY entity, session")
 def incident_severity(tb):
     tags = tb.rows([("DRIFT", "CRITICAL"), ("WARN", "WARNING")], "rule_id string, tag string")
-    return links.incidents(sessioned(tb).join(F.broadcast(tags), "rule_id", "left"), tag="tag").select("entity", F.col("session").cast("long").alias("session"), "severity")
+    return links.incidents(sessioned(tb).join(tags, "rule_id", "left"), tag="tag").select("entity", F.col("session").cast("long").alias("session"), "severity")
 
 
 TYPE_SQL = "CASE WHEN bool_or(kind = 'sop002_stuck_std') THEN 'STUCK' WHEN bool_or(kind = 'kg_threshold_critical') AND max(last_positive_at) FILTER (kind LIKE 'kg_threshold%' OR kind = 'sop002_out_of_range') - min(trigger_at) FILTER (kind LIKE 'kg_threshold%' OR kind = 'sop002_out_of_range') < 7200 THEN 'SPIKE' WHEN bool_or(kind = 'kg_maint_drift') AND (count(*) FILTER (kind <> 'kg_maint_drift') = 0 OR min(trigger_at) FILTER (kind = 'kg_maint_drift') < min(trigger_at) FILTER (kind <> 'kg_maint_drift') OR NOT bool_or(kind = 'sop002_out_of_range')) THEN 'DRIFT' WHEN bool_or(kind = 'sop002_out_of_range') THEN 'OUT_OF_RANGE' ELSE 'UNCLASSIFIED' END"

@@ -41,7 +41,7 @@ def violations(obs: DataFrame, sensors: DataFrame, step: int, limit: float = 1e1
     """(code, sensor_id, timestamp) of observations() rows: bad_timestamp, off_grid, bad_value,
     unknown_sensor, unit_mismatch, duplicate. sensors(sensor_id, unit) is a dimension."""
     dim = sensors.select("sensor_id", F.col("unit").alias("_unit"))
-    j = obs.join(F.broadcast(dim), "sensor_id", "left").withColumn("_n", F.count("*").over(W.partitionBy("sensor_id", "timestamp")))
+    j = obs.join(dim, "sensor_id", "left").withColumn("_n", F.count("*").over(W.partitionBy("sensor_id", "timestamp")))
     checks = [
         ("bad_timestamp", F.col("t").isNull()),
         ("off_grid", F.col("t") % step != 0),

@@ -33,7 +33,7 @@ def _load(s: S.Scanner, state: tuple) -> int | None:
 
 def scan_stream(series: DataFrame, rules: DataFrame, step: int, confirm: int = 2, clear: int = 2) -> DataFrame:
     """Closed events of a streaming series(entity, t, v) under rules as in stateful.scan()."""
-    joined = series.select("entity", "t", "v").join(F.broadcast(rules.select("entity", *S.RULE)), "entity")
+    joined = series.select("entity", "t", "v").join(rules.select("entity", *S.RULE), "entity")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches)).sort_values("t")
