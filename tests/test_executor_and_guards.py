@@ -162,3 +162,32 @@ def test_entry_registers_whole_tables_only():
     names = set(__spark_entry__.queries())
     cut = {n.removesuffix("_all") for n in plans.queries() if n.endswith("_all") and n.removesuffix("_all") in plans.queries()}
     assert cut and not cut & names and {f"{n}_all" for n in cut} <= names
+
+
+def test_promotion_issues_name_each_break(spark):
+    from millrace.operators import proofs
+
+    base = {"alarm_id": "a", "entity": "e", "trigger_at": 100, "run_start": 90, "trigger_value": 9.0, "monitored_by": "c1", "anchor": 50, "window_to": 150}
+    breaks = [({}, ""), ({"monitored_by": "c9"}, "no_such_cause"), ({"monitored_by": "c2"}, "no_warning"), ({"anchor": 40, "window_to": 140}, "wrong_anchor"), ({"window_to": 160}, "wrong_window"), ({"trigger_value": 1.0}, "wrong_direction"), ({"trigger_at": 151}, "outside_window"), ({"source": "sig-x"}, "signal_not_reconstructed"), ({"monitored_by": "c3"}, "no_such_pair")]
+    rows = []
+    for i, (change, _) in enumerate(breaks):
+        r = base | {k: v for k, v in change.items() if k != "source"} | {"alarm_id": f"a{i}"}
+        h = hashlib.sha256("|".join(str(r[k]) for k in ("entity", "trigger_at", "run_start", "trigger_value")).encode()).hexdigest()
+        rows.append((r["alarm_id"], r["entity"], change.get("source", "sig-" + h[:20]), r["trigger_at"], r["run_start"], r["trigger_value"], r["monitored_by"], r["anchor"], r["window_to"]))
+    promoted = spark.createDataFrame(rows, "alarm_id string, entity string, source_signal string, trigger_at long, run_start long, trigger_value double, monitored_by string, anchor long, window_to long")
+    causes = spark.createDataFrame([("c1", "k", 50), ("c2", "k", None), ("c3", "other", 50)], "cause_id string, cause string, first_warning long")
+    pairs = spark.createDataFrame([("k", "e", 100, "above_nominal")], "cause string, effect string, within long, direction string")
+    got = {r.alarm_id: r.issues for r in proofs.promotion_issues(promoted, causes, pairs, spark.createDataFrame([("e", 5.0)], "entity string, nominal double")).collect()}
+    assert [got[f"a{i}"] for i in range(len(breaks))] == [w for _, w in breaks]
+
+
+def test_slope_proof_needs_a_sigma_and_a_whole_window(spark):
+    from millrace.operators import proofs
+
+    s = series.with_segments(spark.createDataFrame([("a", 10 * k, 2.0 * k) for k in range(12)], "entity string, t long, v double"), 10)
+    rule = executor.normalise(spark.createDataFrame([("r", "k", "a", "slope", 0.1, 4, 2, 0.0)], "rule_id string, kind string, entity string, executor string, value double, window int, readings int, nominal double"))
+    claims = spark.createDataFrame([("first", "a", "r", 40), ("early", "a", "r", 20), ("late", "a", "r", 50), ("none", "a", "r", 999)], "alarm_id string, entity string, rule_id string, at long")
+    got = {r.alarm_id: (r.state, r.reason) for r in proofs.window_proofs(s, claims, rule, spark.createDataFrame([("a", 1.0)], "entity string, sigma double"), 10).collect()}
+    assert got == {"first": ("consistent", ""), "early": ("inconsistent", "incomplete contiguous feature window"), "late": ("inconsistent", "not the first confirmation"), "none": ("inconsistent", "no such sample or rule")}
+    blind = proofs.window_proofs(s, claims.where("alarm_id = 'first'"), rule, spark.createDataFrame([("a", 0.0)], "entity string, sigma double"), 10).first()
+    assert (blind.state, blind.reason) == ("unassessed", "positive verified sigma required")
