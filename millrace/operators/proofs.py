@@ -113,7 +113,8 @@ def promotion_issues(promoted: DataFrame, causes: DataFrame, pairs: DataFrame, n
     again = signal_hash("sig-", [F.col("entity"), F.col("trigger_at"), F.col("run_start"), F.col("trigger_value")])
     j = promoted.join(causes, F.col("monitored_by") == F.col("cause_id"), "left")
     j = j.join(pairs.withColumnsRenamed({"cause": "p_cause", "effect": "p_effect"}), (F.col("cause") == F.col("p_cause")) & (F.col("entity") == F.col("p_effect")), "left").join(nominal, "entity", "left")
-    side = F.when(F.col("direction") == "above_nominal", F.col("trigger_value") > F.col("nominal")).otherwise(F.col("trigger_value") < F.col("nominal"))
+    above = F.col("trigger_value") > F.col("nominal")
+    side = F.when(F.col("direction") == "above_nominal", above).when(F.col("direction") == "below_nominal", F.col("trigger_value") < F.col("nominal"))
     checks = [
         ("signal_not_reconstructed", F.col("source_signal") != again),
         ("no_such_cause", F.col("cause").isNull()),
