@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detection, dispatch, graphs, modes, proofs, retrieval, shapes, stateful, verification  # noqa: F401
+from . import detection, dispatch, graphs, modes, paths, proofs, retrieval, shapes, stateful, verification  # noqa: F401
 from .registry import ORACLES, QUERIES, Tables
 
 
