@@ -378,7 +378,9 @@ def _exchange(scratch: Scratch, requests: DataFrame, k: int, p: _Params, last: b
         return _frame(out + [("answer", bucket, int(c), _part(answer, *w), None) for c, w in zip(pdf["chunk"], where, strict=True)], _TABLE)
 
     if stored is None:
-        table = rows.groupBy("bucket").applyInPandas(_by_key(settle), _TABLE)
+        # as many partitions as buckets, so that a task's share doesn't grow with the input
+        n_buckets = p.word_buckets if k == 1 else p.n_buckets
+        table = rows.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_by_key(settle), _TABLE)
     else:
         table = rows.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInPandas(lambda key, a, b: settle(key, a, b), _TABLE)
     table = scratch.save(table, f"katz-{k}-grams", ("what",)).select(*[c.split()[0] for c in _TABLE.split(", ")])
