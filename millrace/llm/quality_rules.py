@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: The statistics a rule reads, and the condition on them that rejects.
 Rule = namedtuple("Rule", "reads rejects")
 
@@ -85,21 +85,21 @@ def n_repeat_words(ws: Column, width: int = 3) -> Column:
 
 def _lines(text: Column, body: Callable[[Column, Column], Column]) -> Column:
     """body(lines with a word, lines equal to an earlier one)."""
-    full = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    full = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     return _let(full, lambda ls: body(F.size(ls).cast("long"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long")))
 
 
-def _without(text: Column, marks: str) -> Column:
-    return F.length(F.translate(text, marks, ""))
+def _count(text: Column, marks: str) -> Column:
+    return F.regexp_count(text, F.lit(marks))
 
 
 def _statistic(name: str, text: Column, ws: Column) -> Column:
     """Any statistic but those of lines, of a text that isn't null and its words."""
     return {
         "n_words": lambda: F.size(ws).cast("long"),
-        "word_chars": lambda: _without(text, SPACES).cast("long"),
-        "n_symbols": lambda: (F.length(text) - _without(text, SYMBOLS)).cast("long"),
-        "n_marks": lambda: (F.length(text) - _without(text, "!?")).cast("long"),
+        "word_chars": lambda: (F.length(text) - _count(text, r"[\x20\x09-\x0D]")).cast("long"),
+        "n_symbols": lambda: _count(text, SYMBOLS).cast("long"),
+        "n_marks": lambda: _count(text, "[!?]").cast("long"),
         "n_repeat_words": lambda: n_repeat_words(ws),
     }[name]()
 
