@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, one_of_each, save, text_batches
+from .common import LOWER, Scratch, one_of_each, save, text_batches
 from .graph import components
 
 _BITS = 64
@@ -110,14 +110,14 @@ def _linked(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, i
     return [(int(reps[i]), int(reps[r])) for i, r in enumerate(group) if r != i]
 
 
-def links(reps: DataFrame, radius: int = 2, bucket_limit: int = 4096) -> DataFrame:
+def links(reps: DataFrame, radius: int = 2, bucket_limit: int = 4096, scratch: Scratch | None = None) -> DataFrame:
     """Edges (src, dst) between the reps of distinct fingerprints reps(fp, rep): their components
     are those of all pairs within the radius."""
     first = covering_masks(radius)
     # counts only decide how a bucket is dealt; a bucket never meets in one row before they are known
     dealt = _dealt(reps, [first], [])
     sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = save(sizes, "simhash-buckets")
+    sizes = (scratch.save if scratch else save)(sizes, "simhash-buckets")
     small = dealt.join(sizes.where(F.col("n") <= bucket_limit).select("t", "key"), ["t", "key"], "left_semi").select("fp", "rep", F.col("t").alias("t0"), F.col("key").alias("k0"), F.lit(-1).alias("t"), F.lit(0).cast("long").alias("key"))
     groups = small
     big = sizes.where(F.col("n") > bucket_limit).select("t", "key")
@@ -141,10 +141,18 @@ def links(reps: DataFrame, radius: int = 2, bucket_limit: int = 4096) -> DataFra
 def _found(docs: DataFrame, text: str, doc_id: str, radius: int, width: int) -> DataFrame:
     """doc_id, fp, component (the smallest fingerprint of the component) and component_id of every row.
     Fingerprints are the nodes, so that no id, whatever its value, stands for anything but itself."""
+    scratch = Scratch(docs.sparkSession)
+    try:
+        return save(_linked_rows(scratch, docs, text, doc_id, radius, width), "simhash-found")
+    finally:
+        scratch.clear()
+
+
+def _linked_rows(scratch: Scratch, docs: DataFrame, text: str, doc_id: str, radius: int, width: int) -> DataFrame:
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    fps = save(fingerprints(named, keep=("doc_id",), width=width), "simhash-fps")
-    nodes = save(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    comp = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius))
+    fps = scratch.save(fingerprints(named, keep=("doc_id",), width=width), "simhash-fps")
+    nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    comp = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius, scratch=scratch))
     inside = nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = inside.groupBy("component").agg(F.min("low").alias("component_id"))
     return fps.join(inside.join(lowest, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "fp", "component", "component_id")
@@ -163,6 +171,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = 2, width: int = 3) -> DataFrame:
     """docs with one row of each component: that with the smallest doc_id; of rows that repeat it, one.
     Of a component of null ids alone, one row stays. Columns keep their names, whatever they are."""
-    found = save(_found(docs, text, doc_id, radius, width), "simhash-found")
+    found = _found(docs, text, doc_id, radius, width)
     of_null = lambda rows: fingerprints(rows, text="_text", keep=("_key",), width=width).withColumnRenamed("fp", "_fp")
     return one_of_each(docs, found, of_null, text, doc_id)
