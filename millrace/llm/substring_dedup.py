@@ -75,6 +75,9 @@ def _first_of(places: tuple[np.ndarray, ...], *keys: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes of one row's part of a block. The JVM gives arrays of half a heap region or more a region of
+#: their own, which it frees late; smaller rows keep its memory low.
+_PIECE = 192 << 10
 _SPACE = np.isin(np.arange(256), list(SPACES.encode()))
 
 
@@ -231,7 +234,7 @@ class _Block(_Texts):
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """docs(d, t) as blocks of at most block_bytes of text, one document at least."""
-    schema = "block long, ids array<long>, missing array<boolean>, sizes array<long>, blob binary"
+    schema = "block long, piece int, ids array<long>, missing array<boolean>, sizes array<long>, blob binary"
 
     def run(batches):
         base = TaskContext.get().partitionId() << 14
@@ -240,13 +243,42 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                 raise ValueError("a partition has more than 16384 blocks")
             texts = [r[1] or b"" for r in rows]
             blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            longs, flags = pa.list_(pa.int64()), pa.list_(pa.bool_())
-            columns = [pa.array([base + k], pa.int64()), pa.array([[_NULL if r[0] is None else r[0] for r in rows]], longs), pa.array([[r[0] is None for r in rows]], flags), pa.array([[len(t) for t in texts]], longs), pa.array([blob], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "missing", "sizes", "blob"])
+            pieces = [blob[i : i + _PIECE] for i in range(0, max(1, len(blob)), _PIECE)]
+            more, longs = [[]] * (len(pieces) - 1), pa.list_(pa.int64())
+            columns = [
+                pa.array([base + k] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()), pa.array([[_NULL if r[0] is None else r[0] for r in rows], *more], longs),
+                pa.array([[r[0] is None for r in rows], *more], pa.list_(pa.bool_())), pa.array([[len(t) for t in texts], *more], longs), pa.array(pieces, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "piece", "ids", "missing", "sizes", "blob"])
 
     return docs.mapInArrow(run, schema)
 
 
+def _joined(rows: list[dict]) -> dict:
+    """A block's rows as one."""
+    rows = sorted(rows, key=lambda r: r["piece"])
+    return rows[0] | {"blob": b"".join(r["blob"] for r in rows)}
+
+
+def _each(batches):
+    """The blocks of a task: their rows stand together."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0]["block"] != row["block"]:
+                yield _joined(held)
+                held = []
+            held.append(row)
+    if held:
+        yield _joined(held)
+
+
+def _of(block: pd.DataFrame) -> dict:
+    if not len(block):
+        raise ValueError("answers to no block")
+    return _joined(block.to_dict("records"))
+
+
 _DIRECTORY = "a long, c long, doc long, start int, address long"
 
 
@@ -261,15 +293,14 @@ def _directory(blocks: DataFrame, width: int) -> DataFrame:
     row (address -1) for all of them, as these are looked up by window whatever others say."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row, width)
-                one = np.flatnonzero(b.lead & ~b.many)
-                several = np.unique(b.anchor[b.lead & b.many])
-                ids, start = b.places(b.at[one], b.doc[one])
-                own = several ^ mix64(np.full(len(several), b.no + 1, np.uint64))
-                fill = np.zeros(len(several), np.int64)
-                yield _table(_DIRECTORY, np.concatenate((b.anchor[one], several)).view(np.int64), np.concatenate((b.group[one], own)).view(np.int64), np.concatenate((ids, fill)), np.concatenate((start, fill)).astype(np.int32), np.concatenate((b.address(b.at[one]), fill - 1)))
+        for row in _each(batches):
+            b = _Block(row, width)
+            one = np.flatnonzero(b.lead & ~b.many)
+            several = np.unique(b.anchor[b.lead & b.many])
+            ids, start = b.places(b.at[one], b.doc[one])
+            own = several ^ mix64(np.full(len(several), b.no + 1, np.uint64))
+            fill = np.zeros(len(several), np.int64)
+            yield _table(_DIRECTORY, np.concatenate((b.anchor[one], several)).view(np.int64), np.concatenate((b.group[one], own)).view(np.int64), np.concatenate((ids, fill)), np.concatenate((start, fill)).astype(np.int32), np.concatenate((b.address(b.at[one]), fill - 1)))
 
     return blocks.mapInArrow(run, _DIRECTORY)
 
@@ -297,9 +328,7 @@ def _window_answers(blocks: DataFrame, said: DataFrame, width: int) -> DataFrame
 
     def run(key, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in _WINDOWS.split(", ")]
-        if not len(block):
-            raise ValueError("answers to no block")
-        b = _Block(block.iloc[0], width)
+        b = _Block(_of(block), width)
         at, doc, h, g, first = b.windows(told["at"].to_numpy(np.int64))
         own = np.flatnonzero(first == np.arange(len(first)))
         ids, start = b.places(at[own], doc[own])
@@ -317,7 +346,7 @@ def _factored(blocks: DataFrame, said: DataFrame, width: int, with_text: bool) -
     """A row for each document, and one for each factor with a source in another block: its words."""
 
     def run(key, block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        b = _Block(block.iloc[0], width)
+        b = _Block(_of(block), width)
         by_doc: dict[int, list] = {}
         for f in b.factors(told):
             by_doc.setdefault(f[0], []).append(f[1:])
@@ -358,7 +387,7 @@ def _differ(blocks: DataFrame, found: DataFrame) -> int:
     def run(key, block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         bad = 0
         if len(asked):
-            b = _Texts(block.iloc[0])
+            b = _Texts(_of(block))
             unpack = zstandard.ZstdDecompressor()
             for source, n, blob in sorted(zip(asked["source"], asked["n"], asked["asked"], strict=True), key=lambda r: r[0]):
                 bad += b.words_at(int(source) % _PLACES, int(n)) != unpack.decompress(bytes(blob)).split(b"\n")
