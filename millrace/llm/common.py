@@ -48,10 +48,20 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets the session hand Python at most about `most` bytes of rows at once, whatever a row's size (its
+    default of 64 MB, held twice over by each side, is much of a small executor). A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, "0b"))
+    if not now or not 0 < int(now[1]) <= most:
+        spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables of one run in the shared folder, which clear() removes."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self._paths, self._tables = spark, [], []
 
     def path(self, name: str) -> str:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import small_batches, text_batches
 
 #: Bytes to words: A-Z become a-z, other ASCII characters than letters and digits become spaces.
 _TABLE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -155,6 +155,7 @@ SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contamina
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, block_bytes: int = 16 << 20, shard_bytes: int = 4 << 20, ratio: int = 20, keep: tuple[str, ...] = ("doc_id",), only: str | None = None, with_matches: bool = True) -> DataFrame:
     """Columns `keep` of docs with SCHEMA. contaminated: n_hit > 0 and ratio * n_hit >= n_words.
     only: 'clean' or 'contaminated' drops the other rows. Without with_matches, matches are empty."""
+    small_batches(docs.sparkSession)
     blocks = _blocks(benchmark, item_id, item_text, width, block_bytes)
     fields = docs.select(*keep).schema
     out = fields

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, small_batches
 
 #: Fixed wording of common licence notices: licence name and a notice's text.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -130,6 +130,7 @@ def detect_text(text: str | None, index: Index, threshold: float = 0.6) -> tuple
 
 def detect(files: DataFrame, text: str = "text", keep: tuple[str, ...] = ("path",), threshold: float = 0.6, templates=TEMPLATES) -> DataFrame:
     """Columns `keep` with own_license, score and line (null where nothing matches)."""
+    small_batches(files.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = files.select(*keep).schema.add("own_license", "string").add("score", "double").add("line", "long")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BITS = 18
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -113,6 +115,7 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs:
 
 
 def _features_of(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = docs.select(*keep).schema
@@ -151,6 +154,7 @@ def fit(docs: DataFrame, grades: DataFrame, n_grades: int, text: str = "text", d
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), top: int | None = None, least: float = 0.5) -> DataFrame:
     """Columns `keep` with expected_grade, tail_probability (of grade `top` or better) and kept (at
     least `least` of it)."""
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 Span = namedtuple("Span", "kind start end score")
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 BASE = KINDS[:4]
@@ -126,6 +128,7 @@ def _joined(spans) -> str:
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """Columns `keep` with counts of the base kinds, base_sha256, spans, and found (spans with scores)."""
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = docs.select(*keep).schema
@@ -164,6 +167,7 @@ def redact_text(text: str | None, **options) -> str | None:
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = None, **options) -> DataFrame:
     """docs with the spans in `text` replaced; column `length`, where named, gets the new length."""
+    small_batches(docs.sparkSession)
     at, schema = docs.columns.index(text), docs.schema
 
     def run(batches):

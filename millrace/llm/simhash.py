@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, one_of_each, save, text_batches
+from .common import LOWER, Scratch, one_of_each, save, small_batches, text_batches
 from .graph import components
 
 _BITS = 64
@@ -55,6 +55,7 @@ def _fingerprints(texts: list[bytes | None], width: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = 3, batch_bytes: int = 4 << 20) -> DataFrame:
     """Columns `keep` and fp (the fingerprint's bits as a signed long)."""
+    small_batches(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = docs.select(*keep).schema.add("fp", "long")
