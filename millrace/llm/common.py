@@ -52,8 +52,8 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Lets the session hand Python at most about `most` bytes of rows at once, whatever a row's size (its
     default of 64 MB, held twice over by each side, is much of a small executor). A smaller setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, "0b"))
-    if not now or not 0 < int(now[1]) <= most:
+    now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+    if not 0 < now <= most:
         spark.conf.set(key, str(most))
 
 
