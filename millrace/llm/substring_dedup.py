@@ -81,6 +81,10 @@ _PIECE = 192 << 10
 _SPACE = np.isin(np.arange(256), list(SPACES.encode()))
 
 
+#: Spaces of all kinds to the plain one.
+_FLAT = bytes(32 if _SPACE[b] else b for b in range(256))
+
+
 class _Texts:
     """A block's texts and the places of their words."""
 
@@ -352,8 +356,14 @@ def _factored(blocks: DataFrame, said: DataFrame, width: int, with_text: bool) -
             by_doc.setdefault(f[0], []).append(f[1:])
         out, asks = [], {}
         for d in range(len(b.lens)):
+            name = None if b.missing[d] else int(b.ids[d])
+            if d not in by_doc:
+                text = b.texts[d].translate(_FLAT).strip(b" ")
+                text = b" ".join(text.split()) if b"  " in text else text
+                out.append((name, int(b.lens[d]), 0, hashlib.sha256(text).hexdigest(), text.decode() if with_text else None, [], None, None, None, None, None))
+                continue
             words, kept, at = b.texts[d].split(), [], 0
-            for start, n, source, _, _ in by_doc.get(d, ()):
+            for start, n, source, _, _ in by_doc[d]:
                 own = words[start : start + n]
                 if source // _PLACES == b.no:
                     if b.words_at(source % _PLACES, n) != own:
@@ -365,8 +375,7 @@ def _factored(blocks: DataFrame, said: DataFrame, width: int, with_text: bool) -
                 at = max(at, start + n)
             kept += words[at:]
             text = b" ".join(kept)
-            found = [{"start": s, "words": n, "source_doc": None if x == _NULL else x, "source_start": y} for s, n, _, x, y in by_doc.get(d, ())]
-            name = None if b.missing[d] else int(b.ids[d])
+            found = [{"start": s, "words": n, "source_doc": None if x == _NULL else x, "source_start": y} for s, n, _, x, y in by_doc[d]]
             out.append((name, len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None, found, None, None, None, None, None))
         pack = zstandard.ZstdCompressor(level=3)
         out += [(None, None, None, None, None, None, s // _PLACES, s, n, digest, pack.compress(joined)) for (s, n, digest), joined in asks.items()]
