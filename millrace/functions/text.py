@@ -64,7 +64,9 @@ def tokens(text: Column) -> Column:
     """Lower-cased tokens: runs of letters and digits joined by '-', '_' or '.', and Hangul words. A
     token with '-' or '_' is followed by its parts, a Hangul word by itself without a particle if two
     characters stay."""
-    return F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: F.concat(F.array(w), parts_of(w))))
+    raw = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    # most texts have no such token, and are done with the pattern
+    return F.when(text.rlike("[-_가-힣]"), F.flatten(F.transform(raw, lambda w: F.concat(F.array(w), parts_of(w))))).otherwise(raw)
 
 
 def row_text(header: Column, values: Column) -> Column:
