@@ -38,7 +38,7 @@ _TAMPER = f"(trigger_at // {H}) % 7"
 @query(
     f"WITH {D.SESSIONS_SQL}, {D.ANCHORS_SQL}, {D._SIGNALS}, {D.PAIRS_SQL}, x AS (SELECT signal_id, effect, trigger_at, cause_id, anchor, \"within\" FROM sg JOIN pairs ON effect = sg.entity JOIN anc USING (cause) JOIN lim ON lim.entity = effect WHERE trigger_at BETWEEN anchor AND anchor + \"within\" AND CASE direction WHEN 'above_nominal' THEN trigger_value > nominal ELSE trigger_value < nominal END),"
     " p AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY anchor DESC, cause_id DESC) = 1)"
-    f" SELECT signal_id AS alarm_id, CASE {_TAMPER} WHEN 0 THEN 'signal_not_reconstructed' WHEN 1 THEN 'no_such_cause' WHEN 2 THEN 'wrong_anchor,wrong_window' WHEN 3 THEN 'wrong_window' ELSE '' END AS issues FROM p WHERE {_TAMPER} <> 4"
+    f" SELECT signal_id AS alarm_id, CASE {_TAMPER} WHEN 0 THEN 'signal_not_reconstructed' WHEN 1 THEN 'no_such_cause' WHEN 2 THEN 'wrong_anchor,wrong_window' WHEN 3 THEN 'wrong_window' ELSE '' END AS issues FROM p"
 )
 def monitor_proofs(tb):
     """Promoted monitors against their own record: the removed signal's hash, the cause's first warning,
@@ -49,7 +49,7 @@ def monitor_proofs(tb):
     j = sig.join(said, "signal_id").join(anchors.select(F.col("cause_id").alias("monitored_by"), "cause"), "monitored_by").join(pairs.select("cause", F.col("effect").alias("entity"), "within"), ["cause", "entity"])
     k = F.floor(F.col("trigger_at") / H) % 7
     signal = proofs.signal_hash("sig-", [F.col("entity"), F.col("trigger_at"), F.col("run_start"), F.col("trigger_value")])
-    kept = j.where(k != 4).select(
+    kept = j.select(
         F.col("signal_id").alias("alarm_id"), "entity", F.when(k == 0, F.lit("sig-0")).otherwise(signal).alias("source_signal"), "trigger_at", "run_start", "trigger_value",
         F.when(k == 1, F.lit("none#0")).otherwise(F.col("monitored_by")).alias("monitored_by"), F.when(k == 2, F.col("anchor") - 60).otherwise(F.col("anchor")).alias("anchor"), (F.col("anchor") + F.col("within") + F.when(k == 3, 60).otherwise(0)).alias("window_to"),
     )
@@ -61,19 +61,16 @@ _G = f"(trigger_at // {H}) % 12"
 
 
 @query(
-    f"WITH {D.SESSIONS_SQL} SELECT alarm_id, CASE {_G} WHEN 0 THEN 'alarm_not_sealed' WHEN 1 THEN 'value_differs,observation_differs' WHEN 2 THEN 'start_differs' WHEN 3 THEN 'units_disagree' WHEN 4 THEN 'parameters_differ' WHEN 5 THEN 'source_missing' WHEN 6 THEN 'source_altered' WHEN 7 THEN 'rule_differs,rule_not_bound_once' WHEN 8 THEN 'source_repeated' ELSE '' END AS issues FROM"
-    f" (SELECT *, bool_or({_G} = 0) OVER (PARTITION BY entity, session) AS cut FROM se) WHERE NOT cut OR {_G} < 0"
+    f"WITH {D.SESSIONS_SQL} SELECT alarm_id, CASE {_G} WHEN 1 THEN 'value_differs,observation_differs' WHEN 2 THEN 'start_differs' WHEN 3 THEN 'units_disagree' WHEN 4 THEN 'parameters_differ' WHEN 5 THEN 'source_missing' WHEN 6 THEN 'source_altered' WHEN 7 THEN 'rule_differs,rule_not_bound_once' WHEN 8 THEN 'source_repeated' ELSE '' END AS issues FROM se"
 )
 def decision_grounding(tb):
-    """Alarms of decisions against sealed alarms, samples, rules and sources, some of them altered; of
-    incidents with an unsealed alarm nothing is asked here, as their alarm set differs as a whole."""
+    """All alarms of decisions against sealed alarms, samples, rules and sources, some of them altered."""
     s = D.sessioned(tb).withColumn("incident_id", F.concat_ws("#", "entity", F.col("session").cast("string")))
     k = F.floor(F.col("trigger_at") / H) % 12
     sealed = s.select("alarm_id", "incident_id", "entity", "rule_id", "run_start", "trigger_at", "trigger_value")
     rules = D.alarm_rules(tb).select("rule_id", "entity", "value")
-    whole = s.groupBy("incident_id").agg(F.max(k == 0).alias("cut")).where("NOT cut").select("incident_id")
     source = F.concat_ws("/", "entity", "rule_id")
-    claims = s.join(whole, "incident_id", "left_semi").join(rules, ["rule_id", "entity"]).select(
+    claims = s.join(rules, ["rule_id", "entity"]).select(
         "alarm_id", "incident_id", "entity", F.when(k == 7, F.lit("NONE")).otherwise(F.col("rule_id")).alias("rule_id"), (F.col("run_start") - F.when(k == 2, H).otherwise(0)).alias("run_start"), "trigger_at",
         (F.col("trigger_value") + F.when(k == 1, 1.0).otherwise(0.0)).alias("trigger_value"), F.when(k == 3, F.lit("mA")).otherwise(F.lit("A")).alias("unit"),
         F.when(k == 5, F.lit("gone")).when(k == 8, F.lit("twice")).otherwise(source).alias("source_id"), F.when(k == 6, F.lit("0")).when(k == 8, F.sha2(F.lit(b"twice"), 256)).otherwise(F.sha2(source.cast("binary"), 256)).alias("source_sha256"), (F.col("value") + F.when(k == 4, 1.0).otherwise(0.0)).alias("value"),
