@@ -11,8 +11,9 @@ A context of more than `hot` counts is dealt by its continuation to as many buck
 Their sums over it are added once, in a table of hot contexts, which a chunk asks for those it has.
 
 Where there are more than `fan_in` chunks, they don't ask all buckets: a chunk asks at most `fan_in`
-ranges of buckets, a node merges what fan_in chunks ask of one range, splits it among at most fan_in
-parts of the range, and so on; answers come back the same way. Requests grow with the n-grams.
+ranges of buckets, a node merges what as many chunks as there are ranges ask of one of them, so about one
+chunk's k-grams, splits it among at most fan_in parts of the range, and so on; answers come back the same
+way. Requests grow with the n-grams, what a node holds doesn't.
 
 `score` fits and evaluates in one pass. `fit` keeps the tables, and Model.score evaluates any texts by
 them: their requests meet the stored rows of the buckets.
@@ -39,7 +40,7 @@ read. Ids are longs, or texts of one.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -344,12 +345,24 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
 
-def _exchange(scratch: Scratch, requests: DataFrame, k: int, p: _Params, last: bool, n_chunks: int, grain: int, stored: DataFrame | None) -> DataFrame:
+def _levels(n_chunks: int, n_dests: int, fan_in: int) -> list[tuple[int, int, int]]:
+    """(grain, nodes, finer) of each level: requests to ranges of `grain` buckets are merged by `nodes` nodes
+    a range and split into ranges of `finer`. A node merges as many as the ranges that each was split into."""
+    out, n, whole = [], n_chunks, n_dests
+    if n_chunks > fan_in:
+        while whole > fan_in:
+            grain = -(-whole // fan_in)
+            nodes = -(-n // -(-whole // grain))
+            out.append((grain, nodes, -(-grain // fan_in)))
+            n, whole = nodes, grain
+    return out
+
+
+def _exchange(scratch: Scratch, requests: DataFrame, k: int, p: _Params, last: bool, plan: list[tuple[int, int, int]], stored: DataFrame | None) -> DataFrame:
     """The answered table of one order. Rows by what: answer (of a chunk), model, hot (sums of parts),
     ask (of hot contexts), counts."""
-    levels, rows, n = [], requests, n_chunks
-    while grain > 1:
-        nodes, finer = -(-n // p.fan_in), max(1, grain // p.fan_in)
+    levels, rows = [], requests
+    for _, nodes, finer in plan:
         rows = scratch.save(rows, f"katz-{k}-requests").withColumn("node", F.pmod(F.xxhash64("chunk"), F.lit(nodes)))
 
         def up(key, pdf: pd.DataFrame, nodes=nodes, finer=finer) -> pd.DataFrame:
@@ -359,7 +372,7 @@ def _exchange(scratch: Scratch, requests: DataFrame, k: int, p: _Params, last: b
 
         merged = rows.where("bucket >= 0").groupBy("bucket", "node").applyInPandas(_by_key(up), _ASK)
         levels.append((rows, nodes))
-        rows, n, grain = merged.unionByName(rows.where("bucket < 0").drop("node")), nodes, finer
+        rows = merged.unionByName(rows.where("bucket < 0").drop("node"))
 
     def settle(key, pdf: pd.DataFrame, model: pd.DataFrame | None = None) -> pd.DataFrame:
         bucket = int(key[0])
@@ -526,9 +539,8 @@ def _passes(scratch: Scratch, chunks: DataFrame, n_chunks: int, order: int, p: _
     With a model its tables answer, else the chunks' own counts do, which sets p's discounts."""
     told, tables, hots = None, {}, {}
     for k in range(1, order + 1):
-        n_dests, grain = p.word_buckets if k == 1 else p.n_buckets, 1
-        while n_chunks > p.fan_in and -(-n_dests // grain) > p.fan_in:
-            grain *= p.fan_in
+        plan = _levels(n_chunks, p.word_buckets if k == 1 else p.n_buckets, p.fan_in)
+        grain = plan[0][0] if plan else 1
 
         def ask(row, said, k=k, grain=grain) -> list[tuple[int, int, bytes]]:
             c = _Chunk(row)
@@ -547,7 +559,7 @@ def _passes(scratch: Scratch, chunks: DataFrame, n_chunks: int, order: int, p: _
         else:
             requests = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(lambda key, a, b: _frame(ask(a.iloc[0], b), _ASK), _ASK)  # noqa: B023
         stored = None if model is None else model.tables[k]
-        table = _exchange(scratch, requests, k, p, k == order, n_chunks, grain, stored)
+        table = _exchange(scratch, requests, k, p, k == order, plan, stored)
         if model is None:
             n = table.where("what = 'counts'").select(F.posexplode("seen").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).orderBy("r").collect()
             seen = np.array([r.n for r in n], np.int64)
@@ -577,6 +589,8 @@ def _scored(scratch: Scratch, docs: DataFrame, text: str, doc_id: str, held, chu
     if not n_chunks:
         return docs.sparkSession.createDataFrame([], _SCORES), None
     p = model.params if model else start(tokens, words, n_train)
+    # a chunk asks for each hot context that it has, so what is asked grows with chunks and with contexts
+    p = replace(p, hot_buckets=max(1, -(-n_chunks * p.n_buckets // p.hot)))
     told, tables, hots = _passes(scratch, chunks, n_chunks, order, p, model)
     if keep:
         return None, Model(p, order, tables, hots, scratch)
@@ -616,7 +630,7 @@ class Model:
 def _start(gt_max: int, bucket_rows: int, hot: int, fan_in: int):
     def at(tokens: int, words: int, n_train: int) -> _Params:
         # a hot context has more than `hot` counts, so that there are at most tokens / hot of them
-        return _Params(n_train, gt_max, max(1, -(-words // bucket_rows)), max(1, -(-tokens // bucket_rows)), max(1, tokens // (hot * bucket_rows)), hot, fan_in, [], 0, 0, 0.0, 0.0)
+        return _Params(n_train, gt_max, max(1, -(-words // bucket_rows)), max(1, -(-tokens // bucket_rows)), 1, hot, fan_in, [], 0, 0, 0.0, 0.0)
 
     return at
 
