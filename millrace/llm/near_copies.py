@@ -1,4 +1,9 @@
-"""Near copies by exact Jaccard: texts whose sets of five-word shingles are similar to 0.8 or more.
+"""Near copies: texts whose sets of five-word shingles are similar to 0.8 or more.
+
+Candidates first come from SimHash: fingerprints of five-word shingles (simhash.fingerprints) that covering
+LSH links at `radius` bits (simhash.links), confirmed on the sets. Pairs of 0.8 differ in some 10 of 64 bits,
+up to 16, which no covering of that size can hold, so an exact step follows for the rest; it leaves alone
+what SimHash has linked, and no link of 0.8 is lost.
 
 Nothing is estimated. Equal sets are one node, named by their hash. Two sets that reach 0.8 share a
 shingle among the first n - ceil(0.8 n) + 1 of each in any order common to all (prefix filter); the
@@ -22,6 +27,7 @@ from pyspark.sql.window import Window as W
 
 from .common import LOWER, Scratch, hash_words, local_words, mix64, one_of_each, save, text_batches
 from .graph import components
+from .simhash import fingerprints, links
 
 
 def _sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -242,17 +248,31 @@ def _confirmed(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame
     return scratch.save(both.mapInArrow(run, "src long, dst long"), "near-links")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, bucket_limit: int = 2048, sample: int = 10_000, most: int = 50_000) -> DataFrame:
+def _by_simhash(scratch: Scratch, nodes: DataFrame, raw: DataFrame, width: int, radius: int) -> DataFrame:
+    """Edges (src, dst) between sets that SimHash links and that reach 0.8. A set has the fingerprint of one of
+    its texts; each set of a fingerprint meets the smallest, which meets those that its own is linked to."""
+    texts = raw.join(nodes.select("th"), F.col("_th") == F.col("th"), "left_semi")
+    prints = fingerprints(texts, text="_text", keep=("_th",), width=width).withColumnRenamed("fp", "bits").dropDuplicates(["_th"])
+    named = scratch.save(nodes.where("n > 0").select("fp", "th").join(prints, F.col("th") == F.col("_th")).select("fp", "bits"), "near-prints")
+    reps = scratch.save(named.groupBy("bits").agg(F.min("fp").alias("rep")), "near-reps")
+    alike = named.join(reps, "bits").where("fp != rep").select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+    found = links(reps.select(F.col("bits").alias("fp"), "rep"), radius, scratch=scratch).toDF("a", "b")
+    pairs = scratch.save(alike.unionByName(found).distinct(), "near-candidates")
+    of = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return _confirmed(scratch, pairs, _wanted_sets(scratch, nodes.join(of, F.col("fp") == F.col("node"), "left_semi"), raw, width))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, bucket_limit: int = 2048, sample: int = 10_000, most: int = 50_000, radius: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, fp (its set of shingles) and component_id, the smallest doc_id
     that links of Jaccard 0.8 reach; null where the component has null ids alone."""
     scratch = Scratch(docs.sparkSession)
     try:
-        return save(_near(scratch, docs, text, doc_id, width, bucket_limit, sample, most), "near-found")
+        return save(_near(scratch, docs, text, doc_id, width, bucket_limit, sample, most, radius), "near-found")
     finally:
         scratch.clear()
 
 
-def _near(scratch: Scratch, docs: DataFrame, text: str, doc_id: str, width: int, bucket_limit: int, sample: int, most: int) -> DataFrame:
+def _near(scratch: Scratch, docs: DataFrame, text: str, doc_id: str, width: int, bucket_limit: int, sample: int, most: int, radius: int) -> DataFrame:
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"))
     raw = raw.withColumn("_th", F.xxhash64("_text"))
 
@@ -262,16 +282,22 @@ def _near(scratch: Scratch, docs: DataFrame, text: str, doc_id: str, width: int,
 
     every = scratch.save(_mapped(raw, ("doc_id", "_th"), make, "doc_id long, th long, fp long, n long, sketch binary"), "near-fps")
     nodes = scratch.save(every.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-nodes")
+    hashed = _by_simhash(scratch, nodes, raw, width, radius)
+    first = scratch.save(components(hashed).toDF("fp", "first"), "near-first")
     found = _prefixes(raw, _frequent(raw, every.count(), width, sample, most), width)
     members = scratch.save(_members(scratch, found).join(nodes.select("fp", "n", "sketch"), "fp"), "near-members")
-    alone = members.withColumn("comp", F.col("fp"))
-    forest = _in_blocks(alone, bucket_limit, lambda fp, n, comp, sketch: _forest(fp, n, sketch, comp), "key long, src long, dst long")
-    # what sifted pairs connect: every link lies within one of these clusters
-    sifted = scratch.save(components(scratch.save(forest.select("src", "dst").distinct(), "near-pairs")), "near-clusters")
+    begun = members.join(first, "fp", "left").withColumn("comp", F.coalesce("first", "fp")).drop("first")
+    forest = _in_blocks(begun, bucket_limit, lambda fp, n, comp, sketch: _forest(fp, n, sketch, comp), "key long, src long, dst long")
+    sifting = scratch.save(forest.select("src", "dst").distinct(), "near-pairs")
+    # what sifted pairs and SimHash connect: every link lies within one of these clusters
+    clustered = scratch.save(components(sifting.unionByName(hashed)), "near-clusters")
+    # those that SimHash alone made are done
+    unsettled = clustered.join(sifting.select(F.col("src").alias("node")), "node", "left_semi").select("component").distinct()
+    sifted = scratch.save(clustered.join(unsettled, "component", "left_semi").select("node", "component"), "near-unsettled")
     sets = _wanted_sets(scratch, nodes.join(sifted, F.col("fp") == F.col("node"), "left_semi"), raw, width)
     # each set with one of its cluster
-    links = _confirmed(scratch, sifted.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")), sets)
-    comp = components(links)
+    known = hashed.unionByName(_confirmed(scratch, sifted.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")), sets))
+    comp = components(known)
     # and, wherever that leaves sifted partners apart, all of them within their cluster
     clusters = sifted.select(F.col("component").alias("key"), F.col("node").alias("fp")).join(comp, F.col("fp") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "fp"))
     labelled = clusters.join(nodes.select("fp", "n", "sketch"), "fp").select("key", "fp", "n", "sketch", "comp")
@@ -279,7 +305,7 @@ def _near(scratch: Scratch, docs: DataFrame, text: str, doc_id: str, width: int,
     open_ = scratch.save(labelled.join(apart, ["key", "fp"], "left_semi"), "near-open")
     if open_.take(1):
         more = _in_blocks(open_.join(sets, "fp"), bucket_limit, lambda fp, n, comp, sketch, s: _exact(fp, sketch, comp, s), "key long, src long, dst long", ("s",))
-        comp = components(links.unionByName(scratch.save(more.select("src", "dst").distinct(), "near-links")))
+        comp = components(known.unionByName(scratch.save(more.select("src", "dst").distinct(), "near-links")))
     named = scratch.save(nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component")), "near-components")
     low = named.groupBy("component").agg(F.min("low").alias("component_id"))
     return every.select("doc_id", "fp").join(named.join(low, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "fp", "component", "component_id")
